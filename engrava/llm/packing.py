@@ -154,7 +154,8 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", source: str
             parts.append(part)
         return pd.concat(parts)[columns]
 
-    packed = cells.groupBy("shard").cogroup(mix.groupBy("shard")).applyInPandas(run, f"budget string, container_id string, k {kind}, piece_no int, piece_tokens long, n_tokens long")
+    mix = mix.select(F.col("shard").alias("sh"), "mix")
+    packed = cells.groupBy("shard").cogroup(mix.groupBy("sh")).applyInPandas(run, f"budget string, container_id string, k {kind}, piece_no int, piece_tokens long, n_tokens long")
     return packed.withColumnRenamed("k", key)
 
 
