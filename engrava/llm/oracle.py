@@ -11,5 +11,19 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
+P4 = """
+WITH m AS (SELECT DISTINCT memory_id, entity_id FROM entity_mentions WHERE memory_id IS NOT NULL AND entity_id IS NOT NULL),
+     t AS (SELECT count(DISTINCT memory_id) AS n FROM m),
+     e AS (SELECT entity_id, count(*) AS n FROM m GROUP BY entity_id),
+     p AS (SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, count(*) AS n_ab FROM m a JOIN m b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id GROUP BY 1, 2)
+SELECT {columns} FROM p JOIN e ea ON ea.entity_id = entity_a JOIN e eb ON eb.entity_id = entity_b CROSS JOIN t {where}
+"""
+P4_PAIRS = "entity_a, entity_b, n_ab, ea.n AS n_a, eb.n AS n_b, t.n AS n, round(CAST(n_ab AS DOUBLE) * CAST(t.n AS DOUBLE) / (CAST(ea.n AS DOUBLE) * CAST(eb.n AS DOUBLE)), 6) AS lift"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": P8}
+    return {
+        "p4_found": P4.format(columns="entity_a, entity_b", where="WHERE n_ab >= 6 AND n_ab * t.n >= 4 * ea.n * eb.n"),
+        "p4_pairs": P4.format(columns=P4_PAIRS, where=""),
+        "p8_found": P8,
+    }

@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.llm import leaks, packing, residue
+from engrava.llm import leaks, neardup, packing, pairs, residue, vectors
 from engrava.session import load
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(neardup.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "write_guard_drops")))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(neardup.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "write_guard_drops")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.found(load(spark, sf_dir, "entity_mentions"))
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.table_of(load(spark, sf_dir, "entity_mentions")).scores().drop("npmi")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.found(load(spark, sf_dir, "memories"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbour_table(load(spark, sf_dir, "memories"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.found(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_budgets"))
 
@@ -31,4 +55,4 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p7_containers, p8_found, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
