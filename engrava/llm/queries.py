@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.llm import leaks, neardup, packing, pairs, residue, vectors
+from engrava.llm import clusters, incremental, leaks, neardup, packing, pairs, residue, vectors
 from engrava.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.found(load(spark, sf_dir, "memories"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(load(spark, sf_dir, "memories"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.links(neardup.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "write_guard_drops")))
 
@@ -34,6 +42,10 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbour_table(load(spark, sf_dir, "memories"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.found(load(spark, sf_dir, "memories"), load(spark, sf_dir, "incoming_items"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.found(load(spark, sf_dir, "documents"), load(spark, sf_dir, "pack_budgets"))
 
@@ -55,4 +67,4 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
