@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.llm import clusters, incremental, leaks, neardup, packing, pairs, residue, vectors
+from engrava.llm import clusters, incremental, leaks, neardup, packing, pairs, pii, residue, vectors
 from engrava.session import load
 
 
@@ -18,6 +18,14 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(load(spark, sf_dir, "memories"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.occurrences(pii.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "turns")))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(pii.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "turns")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.links(neardup.tables_of(load(spark, sf_dir, "memories"), load(spark, sf_dir, "write_guard_drops")))
 
@@ -67,4 +75,4 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_redacted, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
