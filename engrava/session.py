@@ -45,5 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the store; zone-less timestamps are read as UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(f"`{c}`").cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(f"`{c}`") for c, t in df.dtypes])
