@@ -54,11 +54,14 @@ def occurrences(c, token: F.Column) -> F.Column:
     return F.floor((F.length(c) - F.length(F.replace(c, token, F.lit("")))) / F.length(token)).cast("int")
 
 
-def shingles(c, n: int = 5) -> F.Column:
-    """Different substrings of n characters of the normalised lower-case text; a shorter text is its own."""
-    t = F.lower(norm(c))
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.array_distinct(many)
+def shingled(df, key: list[str], c: str, n: int = 5):
+    """(key, g): the different substrings of n characters of the normalised lower-case text; a shorter text is its own.
+
+    The text is normalised once, in a projection of its own, before the substrings are taken.
+    """
+    t = df.select(*key, F.lower(norm(c)).alias("_t"))
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - n + 1)), lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+    return t.select(*key, F.explode(F.array_distinct(many)).alias("g"))
 
 
 def jaccard(a: F.Column, b: F.Column) -> F.Column:

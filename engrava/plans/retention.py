@@ -1 +1,84 @@
+"""Retention: time to live, decay, noise, ceilings, digests of sessions, suggestions of the nightly pass."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from engrava.plans.registry import query
+from engrava.sources import tables
+from engrava.sources.tables import NOW
+
+DAY = 86400
+
+
+@query(f"SELECT id FROM m WHERE ttl IS NULL OR {NOW} - created <= ttl", "m")
+def ttl_gc(spark, sf):
+    """What remains: an age equal to the time to live is kept."""
+    return tables.memories(spark, sf).where(F.col("ttl").isNull() | (NOW - F.col("created") <= F.col("ttl"))).select("id")
+
+
+@query("SELECT id FROM ms WHERE recall_count = 0 AND kind <> 'digest' ORDER BY score * coalesce(importance, 0), created, id LIMIT 100", "ms")
+def low_value(spark, sf):
+    m = tables.scored_memories(spark, sf).where("recall_count = 0 and kind <> 'digest'")
+    return m.orderBy(F.col("score") * F.coalesce("importance", F.lit(0.0)), "created", "id").limit(100).select("id")
+
+
+@query("SELECT id FROM m WHERE kind = 'fact' AND importance >= 0.6 ORDER BY importance DESC, created DESC, id LIMIT 3", "m")
+def preference_facts(spark, sf):
+    return tables.memories(spark, sf).where("kind = 'fact' and importance >= 0.6").orderBy(F.col("importance").desc(), F.col("created").desc(), "id").limit(3).select("id")
+
+
+@query(r"SELECT id FROM m WHERE length(trim(coalesce(text, ''))) < 16 OR regexp_matches(lower(trim(text)), '^(ok|okay|thanks|yes|no|done|got it)[.!]?$')", "m")
+def prune_noise(spark, sf):
+    x = F.trim(F.coalesce("text", F.lit("")))
+    return tables.memories(spark, sf).where((F.length(x) < 16) | F.lower(x).rlike(r"^(ok|okay|thanks|yes|no|done|got it)[.!]?$")).select("id")
+
+
+@query(f"SELECT id FROM ms WHERE {NOW} - created >= {30 * DAY} AND round(score * coalesce(importance, 0), 9) <= 0.04 AND recall_count <= 2 AND kind <> 'digest'", "ms")
+def prune_decayed(spark, sf):
+    m = tables.scored_memories(spark, sf).where((NOW - F.col("created") >= 30 * DAY) & (F.col("recall_count") <= 2) & (F.col("kind") != "digest"))
+    return m.where(F.round(F.col("score") * F.coalesce("importance", F.lit(0.0)), 9) <= 0.04).select("id")
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY recall_count, score * coalesce(importance, 0), created, id) AS r, count(*) OVER () AS n FROM ms) WHERE r <= n - 1500", "ms")
+def enforce_ceiling(spark, sf, ceiling=1500):
+    """The lowest-valued memories beyond a ceiling: an ordered limit by the surplus, no ranking of all rows in one task."""
+    m = tables.scored_memories(spark, sf)
+    surplus = max(0, m.count() - ceiling)
+    return m.orderBy("recall_count", F.col("score") * F.coalesce("importance", F.lit(0.0)), "created", "id").limit(surplus).select("id")
+
+
+STALE = f"created < {NOW - 90 * DAY} AND score < 0.2 AND coalesce(importance, 0) < 0.3"
+LOW = "recall_count <= 2 AND round(score + 0.5 * coalesce(importance, 0), 9) < 0.3"
+
+
+def stale():
+    return (F.col("created") < NOW - 90 * DAY) & (F.col("score") < 0.2) & (F.coalesce("importance", F.lit(0.0)) < 0.3)
+
+
+def low():
+    return (F.col("recall_count") <= 2) & (F.round(F.col("score") + 0.5 * F.coalesce("importance", F.lit(0.0)), 9) < 0.3)
+
+
+@query(f"SELECT id FROM m WHERE {STALE}", "m")
+def cognitive_stale(spark, sf):
+    return tables.memories(spark, sf).where(stale()).select("id")
+
+
+@query(f"SELECT id FROM ms WHERE {LOW} AND NOT ({STALE})", "ms")
+def cognitive_low_value(spark, sf):
+    return tables.scored_memories(spark, sf).where(low() & ~stale()).select("id")
+
+
+@query(f"SELECT id, CASE WHEN {STALE} THEN 'stale' ELSE 'low_value' END AS action FROM ms WHERE {STALE} OR ({LOW})", "ms")
+def cognitive_actions(spark, sf):
+    return tables.scored_memories(spark, sf).where(stale() | low()).select("id", F.when(stale(), "stale").otherwise("low_value").alias("action"))
+
+
+@query("SELECT session_id, id AS kept, n - 1 AS digested FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY score * coalesce(importance, 0) DESC, id) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM m WHERE session_id IS NOT NULL AND kind <> 'digest') WHERE r = 1", "m")
+def session_digest(spark, sf):
+    """Each session keeps its best memory; how many go into its digest."""
+    m = tables.memories(spark, sf).where("session_id is not null and kind <> 'digest'")
+    best = F.min_by("id", F.struct((-F.col("score") * F.coalesce("importance", F.lit(0.0))).alias("v"), "id"))
+    return m.groupBy("session_id").agg(best.alias("kept"), (F.count(F.lit(1)) - 1).alias("digested"))
