@@ -42,7 +42,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], phrases: list[str], k1:
     dl = sum((F.greatest(F.lit(0), F.length(t) - 2) for t in texts), F.lit(0))
     tf = [sum(((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / F.lit(len(p)) for t in texts), F.lit(0.0)) for p in phrases]
     rows = docs.select(key, dl.cast("double").alias("dl"), *[x.alias(f"tf{i}") for i, x in enumerate(tf)])
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1e-9)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
     hit = rows
     for i in range(len(phrases)):
         hit = hit.where(F.col(f"tf{i}") > 0)
@@ -64,7 +64,7 @@ def vector_top(vectors: DataFrame, key: str, vector: str, query: list[float], li
     qn = math.sqrt(sum(x * x for x in query)) or 1.0
     terms = F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in query]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    rows = vectors.where(F.size(vector) == len(query)).select(key, (terms / norm / F.lit(qn)).alias("cosine")).where("cosine is not null and not isnan(cosine)")
+    rows = vectors.where(F.size(vector) == len(query)).select(key, F.try_divide(terms, norm * F.lit(qn)).alias("cosine")).where("cosine is not null and not isnan(cosine)")
     return top(rows, "cosine", key, limit)
 
 

@@ -99,8 +99,8 @@ def graph_from_wiki(spark, sf):
     return c.unionAll(t)
 
 
-@query("WITH w AS (SELECT id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_/.:-]*[A-Za-z0-9]'))) AS name FROM m) SELECT w.id AS memory_id, e.id AS entity_id FROM w JOIN entities e ON e.name = w.name".replace("WITH w", ", w"), "m")
+@query("WITH w AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z0-9_/.:-]*[A-Za-z0-9]'))) AS name FROM m) SELECT w.id AS memory_id, e.id AS entity_id FROM w JOIN entities e ON lower(e.name) = w.name".replace("WITH w", ", w"), "m")
 def mention_backfill(spark, sf):
     """Mentions of entities by whole words: an equi-join on the words of a text instead of a substring test of all pairs."""
-    w = tables.memories(spark, sf).select(F.col("id").alias("memory_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_/.:-]*[A-Za-z0-9])"), 1))).alias("name"))
-    return w.join(tables.entities(spark, sf).select(F.col("id").alias("entity_id"), "name"), "name").select("memory_id", "entity_id")
+    w = tables.memories(spark, sf).select(F.col("id").alias("memory_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([A-Za-z][A-Za-z0-9_/.:-]*[A-Za-z0-9])"), 1))).alias("name"))
+    return w.join(tables.entities(spark, sf).select(F.col("id").alias("entity_id"), F.lower("name").alias("name")), "name").select("memory_id", "entity_id")

@@ -127,7 +127,7 @@ SH = ", x AS (SELECT id, source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g
 def shingle_neardups(spark, sf):
     """Memories of one source whose sets of five-character shingles overlap by at least .85: the prefix filter over shingles tagged with the source."""
     m = tables.memories(spark, sf).where("source is not null and length(text) >= 25")
-    t = text.shingled(m, ["id", "source"], "text").select("id", F.concat_ws("\u0001", "source", "g").alias("token"))
+    t = text.shingled(m, ["id", "source"], "text").select("id", F.xxhash64("source", "g").alias("token"))
     return pages.token_pairs(t, 0.85).select("a", "b")
 
 
