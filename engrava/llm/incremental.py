@@ -48,6 +48,7 @@ class SortedRuns:
         self.spark, self.path, self.ranges, self.parts = spark, scratch(spark, "runs"), ranges, parts
         self.runs: list[str] = []
         self.texts: list[str] = []
+        self.sizes: list[int] = []
         self.n = 0
 
     def _entries(self, signed: DataFrame) -> DataFrame:
@@ -56,12 +57,17 @@ class SortedRuns:
         e = e.withColumn("k", F.xxhash64("k"))
         return e.withColumn("range", F.expr(f"cast(pmod(shiftrightunsigned(k, 20), {self.ranges}) as int)"))
 
-    def add(self, texts: DataFrame, signed: DataFrame) -> None:
-        """A new run of these texts (cid, t, rec) and their signatures (cid, keys, s0..)."""
+    def _tasks(self, rows: int) -> int:
+        """Tasks that write a run: one for about ENTRIES_A_RANGE entries, so that tasks don't grow with the history."""
+        return max(2, min(self.ranges, -(-rows * KEYS // ENTRIES_A_RANGE)))
+
+    def add(self, texts: DataFrame, signed: DataFrame, rows: int) -> None:
+        """A new run of these texts (cid, t, rec), about so many rows, and their signatures (cid, keys, s0..)."""
+        self.sizes.append(rows)
         self.n += 1
         to = f"{self.path}/{self.n}"
         entries = self._entries(signed)
-        entries.repartition(min(self.ranges, 64 if self.n == 1 else 4), "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
+        entries.repartition(self._tasks(rows), "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
         part = F.pmod(F.col("cid"), F.lit(self.parts)).cast("int")
         texts.withColumn("part", part).select("part", "cid", "t", "rec").write.option("compression", "zstd").parquet(f"{to}/texts")
         self.runs.append(f"{to}/entries")
@@ -73,8 +79,9 @@ class SortedRuns:
         """Merge all runs but the first into one; the first is the large one and stays."""
         self.n += 1
         to, old = f"{self.path}/{self.n}", self.runs[1:] + self.texts[1:]
-        self._read(self.runs[1:], "entries").repartition(4, "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
+        self._read(self.runs[1:], "entries").repartition(self._tasks(sum(self.sizes[1:])), "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
         self._read(self.texts[1:], "texts").write.option("compression", "zstd").parquet(f"{to}/texts")
+        self.sizes = [self.sizes[0], sum(self.sizes[1:])]
         self.runs, self.texts = [self.runs[0], f"{to}/entries"], [self.texts[0], f"{to}/texts"]
         for p in old:
             remove(self.spark, p)
@@ -127,7 +134,7 @@ def history_of(records: DataFrame, key: str = "id", text: str = "text", version:
     texts = spark.read.parquet(path)
     n = texts.count()
     runs = SortedRuns(spark, max(8, n * KEYS // ENTRIES_A_RANGE), max(8, n // 100_000))
-    runs.add(texts, texts.select("cid", "t").mapInPandas(sign, SIGNED))
+    runs.add(texts, texts.select("cid", "t").mapInPandas(sign, SIGNED), n)
     remove(spark, path)
     return runs
 
@@ -187,7 +194,7 @@ def batch(runs: SortedRuns, items: DataFrame, threshold: float = THRESHOLD, most
     cases = from_old.unionAll(from_new).unionAll(same).withColumn("r", F.row_number().over(best)).where("r = 1").select("item_id", "matched_id")
     cases = cut(cases)
     keep = texts.join(accepted.select("cid"), "cid", "left_semi").select("cid", "t", F.col("first").cast("string").alias("rec"))
-    runs.add(keep, signed.join(accepted.select("cid"), "cid", "left_semi"))
+    runs.add(keep, signed.join(accepted.select("cid"), "cid", "left_semi"), n)
     return cases
 
 
