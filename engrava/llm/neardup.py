@@ -28,14 +28,20 @@ BROADCAST_ROWS = 500_000
 WORDS = CARRIED // 16
 
 
-def signature_columns(texts: list[str], chunks: int = CHUNKS, width: int = WIDTH, seed: int = 11) -> dict:
-    """keys: one 64-bit key per chunk (chunk number, then its symbols); s0..: the carried symbols, 4 bits each."""
-    m = minhash(texts, chunks * width, seed)
-    low = (m & np.uint32(0xFF)).astype(np.int64).reshape(len(texts), chunks, width)
-    keys = np.zeros((len(texts), chunks), dtype=np.int64)
+def chunk_keys(symbols: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """One 64-bit key per chunk of width symbols of 8 bits: the chunk's number, then its symbols."""
+    n, chunks = len(symbols), symbols.shape[1] // width
+    low = (symbols & np.uint32(0xFF)).astype(np.int64).reshape(n, chunks, width)
+    keys = np.zeros((n, chunks), dtype=np.int64)
     for w in range(width):
         keys = (keys << 8) | low[:, :, w]
-    keys |= np.arange(chunks, dtype=np.int64)[None, :] << (8 * width)
+    return keys | (np.arange(chunks, dtype=np.int64)[None, :] << (8 * width))
+
+
+def signature_columns(texts: list[str], chunks: int = CHUNKS, width: int = WIDTH, seed: int = 11) -> dict:
+    """keys: those of the chunks; s0..: the carried symbols, 4 bits each."""
+    m = minhash(texts, chunks * width, seed)
+    keys = chunk_keys(m, width)
     nibbles = ((m[:, :CARRIED] >> np.uint32(8)) & np.uint32(0xF)).astype(np.uint8)
     if nibbles.shape[1] < CARRIED:
         nibbles = np.pad(nibbles, ((0, 0), (0, CARRIED - nibbles.shape[1])))
