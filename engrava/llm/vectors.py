@@ -16,9 +16,9 @@ DIM, NEAR, NEIGHBOURS = 64, 0.80, 5
 #: For each tree of the forest the number of places in its sorted array where a vector stands (under its best symbols).
 PROBES = (2, 1)
 #: A prefix is lengthened while more vectors than this share it; a prefix is never longer than DEPTH symbols.
-LEAF, DEPTH = 16384, 4
+LEAF, DEPTH = 32768, 4
 #: Rows of a block of queries that is compared with its leaf at a time.
-BLOCK = 1024
+BLOCK = 512
 
 
 #: Tables of ids up to this size (checked) are broadcast when surrogates are turned into ids; larger ones are joined by a shuffle.
@@ -87,16 +87,17 @@ def rotations(trees: int, depth: int, dim: int, seed: int) -> np.ndarray:
     return np.stack([np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(depth)]) for _ in range(trees)])
 
 
-def strings(u: np.ndarray, tree: np.ndarray, probes: int) -> list[np.ndarray]:
-    """Hash strings, probes of each vector: symbol d is the signed axis of rotation d with the greatest projection.
+def strings(u: np.ndarray, tree: np.ndarray, probes: int) -> list[tuple[int, np.ndarray]]:
+    """(variant, hash strings), probes times two: symbol d is the signed axis of rotation d with the greatest projection.
 
-    The probes of a vector differ in their first symbol (its best axes), and go on with the best axes of the others.
+    The probes of a vector differ in their first symbol (its best axes). Variant 1 has the second best axis as its second
+    symbol; it matters only where prefixes are longer than one symbol.
     """
-    p = [u @ r for r in tree]
-    both = [np.concatenate([x, -x], axis=1) for x in p]
-    tail = np.stack([b.argmax(axis=1) for b in both[1:]], axis=1) if len(both) > 1 else np.zeros((len(u), 0), dtype=np.int64)
+    both = [np.concatenate([p, -p], axis=1) for p in (u @ r for r in tree)]
     first = np.argsort(-both[0], axis=1, kind="stable")[:, :probes]
-    return [np.concatenate([first[:, [i]], tail], axis=1).astype(np.int64) for i in range(first.shape[1])]
+    second = np.argsort(-both[1], axis=1, kind="stable")[:, :2] if len(both) > 1 else np.zeros((len(u), 0), dtype=np.int64)
+    rest = [b.argmax(axis=1)[:, None] for b in both[2:]]
+    return [(v, np.concatenate([first[:, [i]], second[:, [v]], *rest], axis=1).astype(np.int64) if len(both) > 1 else first[:, [i]].astype(np.int64)) for i in range(first.shape[1]) for v in range(max(1, second.shape[1]))]
 
 
 def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float) -> Iterator[tuple]:
@@ -140,12 +141,12 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
         first = some.where(F.col("rn") <= k).select("h", "q", F.col("n").alias("other"))
         copied = some.where(F.col("rn") > k + 1).select("h", "q", "n").join(first, ["h", "q"]).select("n", "other", F.lit(1.0).alias("cosine"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, pd.DataFrame]]:
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, pd.DataFrame]]:
         for b in batches:
             u = unpack_directions(b["q"])
             for t, places in enumerate(probes):
-                for s in strings(u, rot[t], places):
-                    yield t, s, b
+                for variant, s in strings(u, rot[t], places):
+                    yield t, variant, s, b
 
     def keys(t: int, s: np.ndarray) -> np.ndarray:
         """Prefixes as numbers; -1 stands for an end."""
@@ -159,7 +160,9 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
 
     def crowd(length: int):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for t, s, _ in place(batches):
+            for t, variant, s, _ in place(batches):
+                if variant and length == 1:
+                    continue
                 p, c = np.unique(keys(t, prefix(s, length)), return_counts=True)
                 yield pd.DataFrame({"p": p, "c": c})
 
@@ -175,12 +178,13 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
     shared = spark.sparkContext.broadcast(crowded)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t, s, b in place(batches):
+        for t, variant, s, b in place(batches):
             at = prefix(s, 1)
             for d, full in enumerate(shared.value, start=1):
                 longer = np.isin(keys(t, prefix(s, d)), full) & (at[:, d - 1] >= 0)
                 at = np.where(longer[:, None], prefix(s, d + 1), at)
-            yield pd.DataFrame({"leaf": keys(t, at), "n": b["n"].to_numpy(), "q": b["q"].to_numpy()})
+            keep = slice(None) if not variant else at[:, 1] >= 0  # a variant stands only where its second symbol counts
+            yield pd.DataFrame({"leaf": keys(t, at)[keep], "n": b["n"].to_numpy()[keep], "q": b["q"].to_numpy()[keep]})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("n").sort_values("n")
