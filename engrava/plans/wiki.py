@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engrava.functions import text
-from engrava.operators import pages
+from engrava.operators import nearvec, pages
 from engrava.plans.registry import query
 from engrava.session import load
 from engrava.sources import tables
@@ -166,6 +166,12 @@ def clusters(spark, sf, near=0.35, most=15, batch=300):
     return m.groupBy("session_id", "batch").applyInPandas(lambda key, pdf: greedy(pdf, near, most).assign(session_id=key[0], batch=key[1])[["session_id", "batch", "id", "group_no"]], "session_id string, batch long, id string, group_no long")
 
 
+@query()
+def embedding_neardups(spark, sf):
+    """Memories with a more important near copy (cosine of at least .92) of their kind."""
+    return nearvec.losers(usable(spark, sf).select("id", "kind", "importance", "embedding"))
+
+
 @query()
 def stage0_dedupe(spark, sf, near=0.85, batch=300):
     """The survivors of a session's memories: the first of each greedy group of nearly equal vectors."""
