@@ -136,10 +136,15 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
     copied = None
     kept = ranked.select("n", "q")
     if not hot.isEmpty():
-        some = ranked.join(hot, "h", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("h", "q").orderBy("n")))
-        kept = ranked.join(hot, "h", "left_anti").select("n", "q").unionAll(some.where(F.col("rn") <= k + 1).select("n", "q"))
-        first = some.where(F.col("rn") <= k).select("h", "q", F.col("n").alias("other"))
-        copied = some.where(F.col("rn") > k + 1).select("h", "q", "n").join(first, ["h", "q"]).select("n", "other", F.lit(1.0).alias("cosine"))
+        some = ranked.join(hot, "h", "left_semi")
+        # the k + 1 smallest numbers of each direction, of salted parts first, so that no task ranks a whole hot group
+        part = Window.partitionBy("h", "q", "salt").orderBy("n")
+        few = some.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(64))).withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= k + 1)
+        few = few.withColumn("rn", F.row_number().over(Window.partitionBy("h", "q").orderBy("n"))).where(F.col("rn") <= k + 1).select("h", "q", "n", "rn")
+        few = cut(few)
+        kept = ranked.join(hot, "h", "left_anti").select("n", "q").unionAll(few.select("n", "q"))
+        first = few.where(F.col("rn") <= k).select("h", "q", F.col("n").alias("other"))
+        copied = some.join(few.select("n"), "n", "left_anti").join(first, ["h", "q"]).select("n", "other", F.lit(1.0).alias("cosine"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, pd.DataFrame]]:
         for b in batches:
