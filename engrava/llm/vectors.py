@@ -17,6 +17,8 @@ DIM, NEAR, NEIGHBOURS = 64, 0.80, 5
 PROBES = (2, 1)
 #: A prefix is lengthened while more vectors than this share it; a prefix is never longer than DEPTH symbols.
 LEAF, DEPTH = 32768, 4
+#: A vector ascends to shorter prefixes until a pair as close as its last neighbour would have shared a prefix with at least this chance.
+SURE = 0.99
 #: Rows of a block of queries that is compared with its leaf at a time.
 BLOCK = 512
 
@@ -100,15 +102,41 @@ def strings(u: np.ndarray, tree: np.ndarray, probes: int) -> list[tuple[int, np.
     return [(v, np.concatenate([first[:, [i]], second[:, [v]], *rest], axis=1).astype(np.int64) if len(both) > 1 else first[:, [i]].astype(np.int64)) for i in range(first.shape[1]) for v in range(max(1, second.shape[1]))]
 
 
-def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float) -> Iterator[tuple]:
-    """For rows of a leaf: (row, neighbours' rows, cosines) of up to k others with at least near, best first, ties by id.
+def sure_cosines(rot: np.ndarray, probes: tuple[int, ...], lengths: int, seed: int, pairs: int = 2000) -> list[float]:
+    """For each prefix length from 1 the least cosine (in steps of .01) at which random pairs share a prefix with a chance of at least SURE; infinite if there's none."""
+    rng = np.random.default_rng(seed)
+    a = directions(pd.Series(list(rng.standard_normal((pairs, DIM)))))
+    b = rng.standard_normal((pairs, DIM))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    mine = [strings(a, tree, n) for tree, n in zip(rot, probes)]
+    out, sure = [float("inf")] * lengths, [True] * lengths
+    for c in np.arange(100, int(NEAR * 100) - 1, -1) / 100:
+        theirs = [strings(c * a + np.sqrt(1 - c * c) * b, tree, n) for tree, n in zip(rot, probes)]
+        for d in range(lengths):
+            met = np.zeros(pairs, dtype=bool)
+            for x, y in zip(mine, theirs):
+                for _, p in x:
+                    for _, q in y:
+                        met |= (p[:, : d + 1] == q[:, : d + 1]).all(axis=1)
+            sure[d] &= bool(met.mean() >= SURE)
+            if sure[d]:
+                out[d] = float(c)
+    return out
+
+
+def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float, asking: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple]:
+    """For rows of a leaf, or the asking (ids, vectors): (row, neighbours' rows, cosines) of up to k others of the leaf with at least near, best first, ties by id.
 
     ids must be sorted, so that the row number stands for the order of ids.
     """
-    n = len(ids)
-    for s in range(0, n, BLOCK):
-        c = u[s : s + BLOCK] @ u.T
-        c[np.arange(len(c)), np.arange(s, s + len(c))] = -2.0
+    who, x = (ids, u) if asking is None else asking
+    own = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
+    for s in range(0, len(who), BLOCK):
+        c = x[s : s + BLOCK] @ u.T
+        at = own[s : s + BLOCK]
+        self = np.nonzero(ids[at] == who[s : s + BLOCK])[0]
+        c[self, at[self]] = -2.0
         rows, cols = np.nonzero(c >= near)
         vals = c[rows, cols]
         order = np.lexsort((cols, -np.round(vals, 6), rows))
@@ -122,10 +150,12 @@ def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float) -> Itera
 def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, probes: tuple[int, ...] = PROBES, leaf: int = LEAF, depth: int = DEPTH, seed: int = 5) -> DataFrame:
     """(n, other, cosine): for every vector of (n, q) its up to k most similar others with at least near; ties by n.
 
-    Each tree is an array sorted by hash strings. A vector's candidates are the vectors that share its longest prefix which
-    is still shared by enough others: prefixes start with one symbol and are lengthened only while more than leaf vectors
-    share them, which is the descent; a tree's further places and the other trees are the synchronous ascent for more
-    candidates. All vectors are indexed and all are queries; the forest is approximate, its recall is measured against
+    Each tree is an array sorted by hash strings. A vector's first candidates are the vectors that share its longest prefix
+    which is still shared by enough others: prefixes start with one symbol and are lengthened only while more than leaf
+    vectors share them, which is the descent. Then all trees ascend together, one symbol at a time: a vector that has fewer
+    than k neighbours, or whose last is less close than sure_cosines asks of the prefix, meets all vectors of the prefix
+    that is one shorter, down to one symbol, the top of each tree. Prefixes of more than leaf vectors are met in pairs of
+    tiles. All vectors are indexed and all are queries; the forest is approximate, its recall is measured against
     brute force. Vectors with equal directions are entered under their k + 1 smallest numbers only: no other copy can be among
     anyone's k, and the others' neighbours are the k smallest. No vectors, no rows.
     """
@@ -173,13 +203,15 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
 
         return count
 
-    # prefixes that more than leaf vectors share; there are at most places / leaf of each length
+    # prefixes that more than leaf vectors share, and how many do; there are at most places / leaf of each length
     crowded: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     for d in range(1, depth):
-        full = kept.select("q").mapInPandas(crowd(d), "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > leaf).select("p").collect()
+        full = kept.select("q").mapInPandas(crowd(d), "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > leaf).orderBy("p").collect()
         if not full:
             break
-        crowded.append(np.sort(np.array([r["p"] for r in full], dtype=np.int64)))
+        crowded.append(np.array([r["p"] for r in full], dtype=np.int64))
+        sizes.append(np.array([r["c"] for r in full], dtype=np.int64))
     shared = spark.sparkContext.broadcast(crowded)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,23 +223,64 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, prob
             keep = slice(None) if not variant else at[:, 1] >= 0  # a variant stands only where its second symbol counts
             yield pd.DataFrame({"leaf": keys(t, at)[keep], "n": b["n"].to_numpy()[keep], "q": b["q"].to_numpy()[keep]})
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("n").sort_values("n")
-        ids, u = pdf["n"].to_numpy(), unpack_directions(pdf["q"])
+    def above(d: int):
+        """The places in crowded prefixes of d symbols, each with its tile and how many tiles the prefix has."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t, variant, s, b in place(batches):
+                if variant and d == 1:
+                    continue
+                p = keys(t, prefix(s, d))
+                full = shared.value[d - 1]
+                at = np.minimum(np.searchsorted(full, p), len(full) - 1)
+                keep = full[at] == p
+                n = b["n"].to_numpy()[keep]
+                tiles = -(-sizes[d - 1][at[keep]] // leaf)
+                own = (pd.util.hash_array(n) % tiles.astype(np.uint64)).astype(np.int64)
+                yield pd.DataFrame({"leaf": p[keep], "own": own, "tiles": tiles, "n": n, "q": b["q"].to_numpy()[keep]})
+
+        return run
+
+    def listed(ids: np.ndarray, u: np.ndarray, asking: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+        who = ids if asking is None else asking[0]
         mine, others, cosines = [], [], []
-        for r, c, v in top_neighbours(ids, u, k, near):
+        for r, c, v in top_neighbours(ids, u, k, near, asking):
             begin = np.nonzero(np.diff(r, prepend=-1))[0]
-            mine.append(ids[r[begin]])
+            mine.append(who[r[begin]])
             others += np.split(ids[c], begin[1:]) if len(begin) else []
             cosines += np.split(v.astype(np.float32), begin[1:]) if len(begin) else []
-        return pd.DataFrame({"n": np.concatenate(mine) if mine else ids[:0], "others": pd.Series(others, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
+        return pd.DataFrame({"n": np.concatenate(mine) if mine else who[:0], "others": pd.Series(others, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("n").sort_values("n")
+        return listed(pdf["n"].to_numpy(), unpack_directions(pdf["q"]))
+
+    def search_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, met = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("n")
+        if asks.empty or met.empty:
+            return pd.DataFrame({"n": pd.Series(dtype="int64"), "others": pd.Series(dtype=object), "cosines": pd.Series(dtype=object)})
+        return listed(met["n"].to_numpy(), unpack_directions(met["q"]), (asks["n"].to_numpy(), unpack_directions(asks["q"])))
+
+    def best_of(partial: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        one = partial.repartition("n").select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
+        one = one if before is None else one.unionAll(before)
+        best = one.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
+        rank = Window.partitionBy("n").orderBy(F.col("cosine").desc(), "other")
+        return best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("n", "other", "cosine")
 
     placed = kept.mapInPandas(leaves, "leaf long, n long, q binary")
-    partial = placed.groupBy("leaf").applyInPandas(search, "n long, others array<long>, cosines array<float>").repartition("n")
-    one = partial.select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
-    best = one.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
-    rank = Window.partitionBy("n").orderBy(F.col("cosine").desc(), "other")
-    best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("n", "other", "cosine")
+    best = best_of(placed.groupBy("leaf").applyInPandas(search, "n long, others array<long>, cosines array<float>"))
+    sure = sure_cosines(rot, probes, len(crowded) + 1, seed) if crowded else []
+    form = "leaf long, own long, tiles long, n long, q binary"
+    for d in range(len(crowded), 0, -1):
+        best = cut(best)
+        enough = best.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.min("cosine").alias("last")).where((F.col("c") >= k) & (F.col("last") >= F.lit(sure[d]))).select("n")
+        asks = kept.join(enough, "n", "left_anti").select("n", "q").mapInPandas(above(d), form)
+        asks = asks.select("leaf", F.col("own").alias("i"), F.explode(F.expr("sequence(0L, tiles - 1)")).alias("j"), F.lit(True).alias("asks"), "n", "q")
+        met = kept.mapInPandas(above(d), form)
+        met = met.select("leaf", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "n", "q")
+        partial = asks.unionAll(met).groupBy("leaf", "i", "j").applyInPandas(search_tile, "n long, others array<long>, cosines array<float>")
+        best = best_of(partial, best)
     return best if copied is None else best.unionAll(copied)
 
 

@@ -125,6 +125,24 @@ def test_crowded_prefixes_are_lengthened(spark):
     assert 0.95 * whole <= vectors.neighbours(v).count() <= whole
 
 
+def test_crowded_prefixes_ascend(spark):
+    rng = np.random.default_rng(8)
+    vecs = {}
+    for g in range(3):
+        c = rng.standard_normal(64)
+        for i in range(200):  # pairs have five cosines of about .95 to .8, on both sides of most axes
+            vecs[f"g{g}-{i:03d}"] = c + rng.standard_normal(64) * 0.4
+    ids, c = brute(vecs)
+    np.fill_diagonal(c, -2)
+    want = {(a, b) for a in range(len(ids)) for b in sorted(np.nonzero(c[a] >= 0.8)[0], key=lambda j: (-c[a, j], j))[:5]}
+    v = vectors.quantised(memories(spark, [(i, 0, x) for i, x in vecs.items()])).cache()
+    at = {r["n"]: ids.index(r["id"]) for r in v.collect()}
+    recall = lambda **how: len({(at[r["n"]], at[r["other"]]) for r in vectors.neighbours(v.select("n", "q"), **how).collect()} & want) / len(want)
+    flat, tall = recall(), recall(leaf=40)
+    print("recall", flat, tall)
+    assert tall >= flat - 0.01
+
+
 # ---- problem 2
 
 
