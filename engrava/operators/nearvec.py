@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrava.functions import text
+from engrava.session import cut
 
 
 def sign_keys(vectors: DataFrame, tables: int, bits: int, dim: int, seed: int = 1) -> DataFrame:
@@ -49,6 +50,49 @@ def losers(vectors: DataFrame, near: float = 0.92, tables: int = 14, bits: int =
     return j.groupBy("id").agg(F.min_by("kept_id", F.struct(-F.col("i"), "kept_id")).alias("kept_id")).unionAll(same)
 
 
+#: Rows of a tile of survivors().
+TILE = 32768
+
+
+def survivors(vectors: DataFrame, near: float = 0.85, tile: int = TILE) -> DataFrame:
+    """(id): vectors (id, kind, importance, embedding, all usable) without a near copy of their kind that is more important (ties: smaller id).
+
+    Going through a kind by importance, a memory joins the group of any earlier member it's near to, and each earlier memory is
+    a member of some group: so a group's first are those with nothing near before them. All rows of a kind are compared,
+    by exact cosines; equal vectors are one class of which the best goes on, tiles of a kind are compared in pairs.
+    """
+    v = vectors.withColumn("i", F.coalesce("importance", F.lit(0.0))).withColumn("h", F.xxhash64("kind", "embedding"))
+    best = v.groupBy("kind", "h", "embedding").agg(F.min(F.struct((-F.col("i")).alias("i"), "id")).alias("b")).select("kind", "embedding", (-F.col("b.i")).alias("i"), "b.id")
+    best = cut(best)
+    tiles = best.groupBy(F.col("kind").alias("of")).agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    own = best.join(tiles, F.col("kind").eqNullSafe(F.col("of"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    own = own.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    placed = own.select("kind", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "i", "id", "embedding")
+
+    def worse(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "id"], ascending=[False, True])
+        u = np.stack([np.asarray(e, dtype=np.float64) for e in pdf["embedding"]])
+        u /= np.abs(u).max(axis=1, keepdims=True)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        left, lost, f = pdf["left"].to_numpy(), np.zeros(len(pdf), dtype=bool), u.astype(np.float32)
+        sides = [(left, ~left), (~left, left)] if not left.all() else [(left, left)]
+        for a, b in sides:  # rows of a that come after a near row of b
+            rows, cols = np.nonzero(a)[0], np.nonzero(b)[0]
+            for s in range(0, len(rows), 512):
+                r = rows[s : s + 512]
+                c = cols[: np.searchsorted(cols, r[-1])]
+                x, y = np.nonzero(f[r] @ f[c].T >= near - 1e-5)
+                x, y = r[x], c[y]
+                x, y = x[y < x], y[y < x]
+                for k in range(0, len(x), 1 << 16):
+                    i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    lost[i[np.round(np.einsum("ij,ij->i", u[i], u[j]), 9) >= near]] = True
+        return pdf[["id"]][lost]
+
+    out = placed.groupBy("kind", "x", "y").applyInPandas(worse, "id string")
+    return best.select("id").join(out, "id", "left_anti")
+
+
 def embed(df: DataFrame, column: str, embedder: Callable[[list[str]], list[list[float]]], to: str = "embedding") -> DataFrame:
     """The frame with vectors of a text column by any function of a list of texts; it is called once per Arrow batch."""
 

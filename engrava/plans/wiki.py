@@ -134,21 +134,26 @@ def shingle_neardups(spark, sf):
 def greedy(pdf: pd.DataFrame, near: float, most: int) -> pd.DataFrame:
     """Rows in order of importance join the first group whose mean vector is near enough and that has room."""
     pdf = pdf.sort_values(["importance", "id"], ascending=[False, True])
-    means: list[np.ndarray] = []
-    sizes: list[int] = []
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(float).tiny)
+    means, sizes, number, used, groups = np.empty((64, x.shape[1])), np.zeros(64, dtype=np.int64), np.zeros(64, dtype=np.int64), 0, 0
     out = []
-    for i, v in zip(pdf["id"], pdf["embedding"]):
-        x = np.asarray(v, dtype=np.float64)
-        x = x / (np.linalg.norm(x) or 1.0)
-        at = next((k for k, c in enumerate(means) if sizes[k] < most and float(c @ x) >= near), None)
-        if at is None:
-            at = len(means)
-            means.append(x)
-            sizes.append(1)
-        else:
-            means[at] = (means[at] * sizes[at] + x) / (sizes[at] + 1)
+    for i, v in zip(pdf["id"], x):
+        fits = np.nonzero((means[:used] @ v >= near) & (sizes[:used] < most))[0]
+        if len(fits):
+            at = fits[0]
+            means[at] = (means[at] * sizes[at] + v) / (sizes[at] + 1)
             sizes[at] += 1
-        out.append((i, at))
+        else:
+            if used == len(means):  # full groups go, the order of the others stays
+                have = np.nonzero(sizes[:used] < most)[0]
+                used, room = len(have), np.zeros(max(64, 2 * len(have)), dtype=np.int64)
+                means = np.concatenate([means[have], np.empty((len(room), x.shape[1]))])
+                sizes, number = np.concatenate([sizes[have], room]), np.concatenate([number[have], room])
+            at = used
+            means[at], sizes[at], number[at] = v, 1, groups
+            used, groups = used + 1, groups + 1
+        out.append((i, int(number[at])))
     return pd.DataFrame(out, columns=["id", "group_no"])
 
 
@@ -158,12 +163,10 @@ def usable(spark, sf):
 
 
 @query()
-def clusters(spark, sf, near=0.35, most=15, batch=300):
-    """Greedy groups of a session's memories, in batches of at most 300 as the loop takes them, so no task holds a whole hot session."""
-    m = usable(spark, sf).where("session_id is not null").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
-    w = Window.partitionBy("session_id").orderBy(F.col("importance").desc(), "id")
-    m = m.select("session_id", "id", "importance", "embedding", F.floor((F.row_number().over(w) - 1) / batch).alias("batch"))
-    return m.groupBy("session_id", "batch").applyInPandas(lambda key, pdf: greedy(pdf, near, most).assign(session_id=key[0], batch=key[1])[["session_id", "batch", "id", "group_no"]], "session_id string, batch long, id string, group_no long")
+def clusters(spark, sf, near=0.35, most=15):
+    """Greedy groups of a session's memories. The order decides, so a session is one task; memories without session are one more."""
+    m = usable(spark, sf).select("session_id", "id", F.coalesce("importance", F.lit(0.0)).alias("importance"), "embedding")
+    return m.groupBy("session_id").applyInPandas(lambda key, pdf: greedy(pdf, near, most).assign(session_id=key[0])[["session_id", "id", "group_no"]], "session_id string, id string, group_no long")
 
 
 @query()
@@ -173,12 +176,9 @@ def embedding_neardups(spark, sf):
 
 
 @query()
-def stage0_dedupe(spark, sf, near=0.85, batch=300):
-    """The survivors of a session's memories: the first of each greedy group of nearly equal vectors."""
-    m = usable(spark, sf).where("session_id is not null").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
-    w = Window.partitionBy("session_id", "kind").orderBy(F.col("importance").desc(), "id")
-    m = m.select("session_id", "kind", "id", "importance", "embedding", F.floor((F.row_number().over(w) - 1) / batch).alias("batch"))
-    return m.groupBy("session_id", "kind", "batch").applyInPandas(lambda pdf: greedy(pdf, near, 1 << 30).drop_duplicates("group_no")[["id"]], "id string")
+def stage0_dedupe(spark, sf, near=0.85):
+    """The survivors of all memories: those without a more important near copy of their kind, in whatever session."""
+    return nearvec.survivors(usable(spark, sf).select("id", "kind", "importance", "embedding"), near)
 
 
 @query("SELECT session_id, string_agg(id, ',' ORDER BY r) FILTER (r <= 5) AS bullets, round(greatest(CAST(0.35 AS DOUBLE), avg(coalesce(importance, 0)) FILTER (r <= 5)), 6) AS importance FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(importance, 0) DESC, id) AS r FROM m WHERE session_id IS NOT NULL) GROUP BY 1", "m")

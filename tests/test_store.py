@@ -1,9 +1,12 @@
 """The client's verbs, near-copy vectors and pluggable functions."""
 
+from datetime import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from engrava.operators import nearvec
+from engrava.plans import wiki
 from engrava.store import Store
 
 NOW = 1_700_000_000.0
@@ -41,6 +44,45 @@ def test_losers(spark):
     assert set(got) == want | {"copy1"} and got["copy1"] == "g00-3"
 
 
+def lone(rng, n):
+    return [[float(x) for x in v] for v in rng.standard_normal((n, 64))]
+
+
+def test_dedupe_crosses_sessions_and_batches(spark, tmp_path):
+    """More than 300 rows of one session and kind; near copies far apart in importance, in other sessions and without one; a chain."""
+    rng = np.random.default_rng(3)
+    base = lone(rng, 400)
+    copy = lambda v: [float(x) for x in np.asarray(v) + rng.standard_normal(64) * 0.1]
+    rows = [(f"a{i:03d}", "s", "fact", 0.9 - i / 1000, v) for i, v in enumerate(base)]
+    rows += [("far", "s", "fact", 0.01, copy(base[0])), ("other", "t", "fact", 0.01, copy(base[1])), ("none", None, "fact", 0.01, copy(base[2]))]
+    rows += [("only", None, "fact", 0.5, [1.0] * 64), ("kind", "s", "plan", 0.01, copy(base[0])), ("null", "s", "fact", None, copy(base[3])), ("tie", "t", "fact", 0.9, base[0])]
+    a, b = np.eye(64)[0], np.eye(64)[1]
+    turn = lambda d: [float(x) for x in np.cos(np.radians(d)) * a + np.sin(np.radians(d)) * b]
+    rows += [(f"chain{d}", "s", "step", 1 - d / 100, turn(d)) for d in (0, 25, 50, 75)]  # each near the one before only
+    m = spark.createDataFrame([(*r, datetime(2026, 1, 1)) for r in rows], "id string, session_id string, kind string, importance double, embedding array<float>, updated_at timestamp").withColumn("created_at", F.col("updated_at"))
+    m.write.parquet(f"{tmp_path}/memories.parquet")
+    u = np.array([r[4] for r in rows], dtype=np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    rank = [(-(r[3] or 0.0), r[0]) for r in rows]
+    near = u @ u.T >= 0.85
+    want = {r[0] for i, r in enumerate(rows) if not any(near[i, j] and rows[j][2] == r[2] and rank[j] < rank[i] for j in range(len(rows)))}
+    got = [r["id"] for r in wiki.stage0_dedupe(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {"only", "kind", "chain0"} <= want and not want & {"far", "other", "none", "null", "tie", "chain25", "chain50", "chain75"}
+    v = m.select("id", "kind", "importance", "embedding")
+    assert {r["id"] for r in nearvec.survivors(v, tile=50).collect()} == want
+    g = {r["id"]: (r["session_id"], r["group_no"]) for r in wiki.clusters(spark, str(tmp_path)).collect()}
+    assert set(g) == {r[0] for r in rows} and g["chain0"] == g["chain25"] and g["none"][0] is None
+    plain, means = {}, []
+    for r in sorted((r for r in rows if r[1] == "s"), key=lambda r: (-(r[3] or 0.0), r[0])):  # the loop as it stands in the survey
+        x = np.asarray(r[4], dtype=np.float32).astype(np.float64)
+        x /= np.linalg.norm(x)
+        k = next((k for k, (c, n) in enumerate(means) if n < 15 and float(c @ x) >= 0.35), len(means))
+        means[k:k + 1] = [((means[k][0] * means[k][1] + x) / (means[k][1] + 1), means[k][1] + 1) if k < len(means) else (x, 1)]
+        plain[r[0]] = k
+    assert {i: n for i, (s, n) in g.items() if s == "s"} == plain
+
+
 def test_pluggable(spark):
     d = spark.createDataFrame([("ab",), (None,)], "t string")
     assert [list(r["embedding"]) for r in nearvec.embed(d, "t", lambda ts: [[float(len(t))] for t in ts]).collect()] == [[2.0], [0.0]]
