@@ -114,24 +114,33 @@ AROUND = "error erreur fehler http status code request id fatal noscript html he
 #: Containment from which a window counts as covered by an exemplar, and how much of the window must be the exemplar's.
 COVER, OF_WINDOW = 0.75, 0.75
 
-# Unfilled slots, as bracketed or marked words (fixed values): the forms in which template languages and people write them.
+# Unfilled slots, as bracketed or marked words: the grammars of template languages and the ways in which people write them.
+#: A name in a slot, of any length: words joined by an underline, point or hyphen. ELEMENTS are no slots but markup.
+#: In plain square brackets a single word is mostly an editor's mark ([cut], [sic]), so of those only the listed ones count.
+WORDS = r"\p{L}[\p{L}\p{N}]+(?:[_.\-][\p{L}\p{N}]+)*+"
+ELEMENTS = r"""a|abbr|address|article|aside|audio|b|base|blockquote|body|br|button|canvas|caption|center|cite|code|col|colgroup|dd|del|details|dfn|dialog|div|dl|dt|em|
+embed|fieldset|figcaption|figure|font|footer|form|h\d|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|map|mark|meta|meter|nav|noscript|object|ol|
+optgroup|option|output|p|param|picture|pre|progress|q|s|samp|script|section|select|small|source|span|strong|style|sub|summary|sup|svg|table|tbody|td|template|textarea|
+tfoot|th|thead|time|title|tr|track|tt|u|ul|var|video|wbr|xml|think|thinking|reasoning""".replace("\n", "")
 SLOT_FORMS = [
-    r"\{\{\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}\}\}", r"\{%\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}%\}", r"<%=?\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}%>",
-    r"[$#]\{\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}\}", r"\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}", r"\$[\p{L}_][\p{L}\p{N}_.]{0,40}\$", r"%\([\p{L}_][\p{L}\p{N}_.]{0,40}\)s",
-    r"@@[\p{L}_][\p{L}\p{N}_.]{0,40}@@", r"\[\[[\p{L}_][\p{L}\p{N}_. ]{0,40}\]\]", r"(?<![\p{L}\p{N}_])__[\p{L}][\p{L}\p{N}_.]{0,40}?__(?![\p{L}\p{N}_])", r"«[\p{L}_][\p{L}\p{N}_.]{0,40}»",
-    r"(?<![\p{L}\p{N}_])(?i:todo)_[\p{L}][\p{L}\p{N}_.]{0,40}", r"(?<![\p{L}\p{N}])(?i:x{2}[./]x{2}[./]x{4}(?:\s*/\s*n\.\s*n\.)?)", r"(?<![\p{L}\p{N}])(?i:tbd(?:\s+tbd)+)(?![\p{L}\p{N}])",
-    r"\[(?i:insert|enter|describe|your|add|fill|hier|texto|à|待)[^\[\]\n]{0,60}\]", r"\((?i:fill\s+in|insert)\s[^()\n]{0,40}\)", r"<(?i:enter|insert|fill|your|describe|add)\s[^<>\n]{0,40}>",
-    r"\[(?i:title|date|owner|scope|summary|body|link|project|evidence|page_slug|session_id|agent_name|key_facts|next_steps|user\.first_name)\]",
-    r"<(?i:date|owner|scope|page_slug|project|evidence|session_id|agent_name|key_facts|next_steps|user\.first_name|title|body|summary|link)>",
+    r"\{\{[{#/^>&!~\-]?\s*[\p{L}_][^{}\n]*\}?\}\}", r"\{%-?\s*[\p{L}_][^{}%\n]*%\}", r"<%[=\-]?\s*[\p{L}_][^<>%\n]*%>",
+    r"[$#]\{\s*[\p{L}_][^{}\n]*\}", r"\{[\p{L}_][\p{L}\p{N}_.\-]*\}", r"\$[\p{L}_][\p{L}\p{N}_.]*\$", r"%\([\p{L}_][\p{L}\p{N}_.]*\)s",
+    r"(?<![\p{L}\p{N}%])%[\p{Lu}_][\p{Lu}\p{N}_]+%(?![\p{L}\p{N}%])",
+    r"@@[\p{L}_][\p{L}\p{N}_.]*@@", r"\[\[[\p{L}_][\p{L}\p{N}_. ]*\]\]", r"(?<![\p{L}\p{N}_])__[\p{L}][\p{L}\p{N}_.]*?__(?![\p{L}\p{N}_])", r"«[\p{L}_][\p{L}\p{N}_.]*»",
+    r"(?<![\p{L}\p{N}_])(?i:todo)_[\p{L}][\p{L}\p{N}_.]*", r"(?<![\p{L}\p{N}])(?i:x{2}[./]x{2}[./]x{4}(?:\s*/\s*n\.\s*n\.)?)", r"(?<![\p{L}\p{N}])(?i:tbd(?:\s+tbd)+)(?![\p{L}\p{N}])",
+    r"\[(?i:insert|enter|describe|your|add|fill|hier|texto|à|待)[^\[\]\n]*\]", r"\((?i:fill\s+in|insert)\s[^()\n]*\)", r"<(?i:enter|insert|fill|your|describe|add)\s[^<>\n]*>",
+    rf"(?<![\p{{L}}\p{{N}}\])!])\[(?=[^\]]*[_.\-]|(?i:title|date|owner|scope|summary|body|link|project|evidence)\]){WORDS}\](?![(\[:])", rf"(?<![\p{{L}}\p{{N}}])<(?!(?i:{ELEMENTS})>){WORDS}>(?!.*</)",
+    r"<(?i:title|body|summary|link)>",
 ]
 SLOT = regex.compile("|".join(SLOT_FORMS))
 #: Markup whose names are also names of slots: a page's own body, title or summary element isn't one.
 MARKUP = regex.compile(r"(?i)</?(?:html|head|body|title|hr|p|h[1-6]|footer|summary|link)\s*/?>")
 NAMED = regex.compile(r"`[^`\n]*`|src/[\w/]+\.\w+|[\p{L}\p{N}]+(?:[_\-.]|::)[\p{L}\p{N}_\-.:]*[\p{L}\p{N}]|(?<!\p{L})(?!JavaScript)\p{L}*\p{Ll}\p{Lu}\p{L}*|#\d+|(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{8,}(?![\p{L}\p{N}])")
 TOKEN = regex.compile(r"SLOT|NAME|NUM|\p{N}+|\p{Han}|(?:(?!\p{Han})\p{L})+")
-#: Windows: lines, and in them sentences.
+#: Windows: lines, and in them sentences; and sentences that go on in the next line.
 SENTENCE = regex.compile(r"(?<=[.!?。！？])(?=\s|\p{Han}|<)|(?<=>)(?=\s*[^\s<])")
-FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
+#: A fence that is never closed ends at the first blank line.
+FENCE = regex.compile(r"```.*?```|```(?:(?!\n[ \t]*\n).)*", regex.S)
 
 
 def tokens(window: str) -> list[str]:
@@ -203,7 +212,7 @@ def vocabulary() -> frozenset[str]:
 
 
 #: What begins or marks a slot, in lower case (fixed values); only lines that hold one are looked at for slots.
-SLOT_MARKS = ["{", "<", "$", "%(", "@@", "[", "__", "«", "todo_", "xx.", "xx/", "tbd", "(fill", "(insert"]
+SLOT_MARKS = ["{", "<", "$", "%", "@@", "[", "__", "«", "todo_", "xx.", "xx/", "tbd", "(fill", "(insert"]
 
 
 class Scorer:
@@ -226,7 +235,7 @@ class Scorer:
         if len(low) != len(text):  # lower case of a few letters is longer; positions must agree
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         covered, slots, top, done = 0, 0, 0.0, -1
-        fences = None
+        fences, wrapped = None, -1
         for at, size in self.find.iter(low):
             if at < done or (size and low[at - size : at - size + 1].isalpha() and at >= size and low[at].isascii()) or (size and low[at].isascii() and low[at + 1 : at + 2].isalpha()):
                 continue
@@ -237,8 +246,24 @@ class Scorer:
             code = any(a <= at < b for a, b in fences)
             c, n, t = self.line(text[begin:done], code)
             covered, slots, top = covered + c, slots + n, max(top, t)
+            if c or n or code:
+                continue
+            before, after = text.rfind("\n", 0, max(0, begin - 1)) + 1, text.find("\n", done + 1)
+            for a, middle, b in ((before, begin - 1, done), (begin, done, after if after >= 0 else len(text))):
+                if 0 <= a < middle < b and a > wrapped:
+                    t = self.across(text[a:middle], text[middle + 1 : b])
+                    if t:
+                        covered, top, wrapped = covered + 1, max(top, t), a
         return covered, slots, top
 
+    def across(self, upper: str, lower: str) -> float:
+        """Containment of the sentence that begins in the upper line and goes on in the lower one; 0 if none does."""
+        upper, lower = SENTENCE.split(upper.rstrip())[-1], SENTENCE.split(lower.lstrip())[0]
+        if not upper.strip() or not lower or upper[-1] in ".!?。！？" or regex.match(r"[#>|\-*+]|\d+[.)]|```", lower):
+            return 0.0
+        covered, _, top = self.line(f"{upper} {lower}", False)
+        return top if covered else 0.0
+
     def line(self, line: str, code: bool) -> tuple[int, int, float]:
         covered, slots, top = 0, 0, 0.0
         for window in SENTENCE.split(line):

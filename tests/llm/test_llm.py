@@ -374,6 +374,19 @@ def test_residue(spark):
     assert residue.found(d.limit(0)).isEmpty()
 
 
+UNSEEN = [
+    "Dear [customer_name], thank you.", "Dear <recipient>,", "Hi {{ user-name }}!", "Total: {{ x|default }}", "{{#each items}}", "Path ${a:b}", "Owner: %NAME%", "Sent to {{ " + "very_long_" * 8 + "name }}.",
+    "An ordinary note.\n\nPlease enable JavaScript to\nview this dashboard.", "```\nx = 1\n\nReport of {{ owner }} is ready.",
+]
+INTACT = ["It was long [cut] and odd [sic].", "See [docs](http://a.example) and arr[index] for more.", "- [x] done", "It grew by 5% and then 7% more.", "<b>bold</b> and List<String> stay.", "We enable\nthe cache in the dashboard.", "```\na\n\nHello {{ owner }}\n```\nfine"]
+
+
+def test_residue_of_other_names_and_layouts(spark):
+    rows = [(i, t) for i, t in enumerate(INTACT)] + [(100 + i, t) for i, t in enumerate(UNSEEN)] + [(300 + i, sentence(random.Random(i))) for i in range(200)]
+    got = {r["doc_id"] for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100 + i for i in range(len(UNSEEN))}
+
+
 # ---- shared
 
 
