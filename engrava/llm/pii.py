@@ -33,7 +33,6 @@ UP, LOW = r"A-ZÀ-ÖØ-ÞŁŚŻŠŽ", r"a-zß-öø-ÿłśżšž"
 WORD_CAP = rf"[{UP}][{LOW}]+"
 SURNAME = rf"{PARTICLES}*{WORD_CAP}(?:[{UP}][{LOW}]+)?(?:-{WORD_CAP})?"
 SURNAME_CAPS = rf"(?:(?:DE\sLA|DE|VAN|VON|AL)[ \-]|O['’])*[{UP}]{{3,}}(?:-[{UP}]{{3,}})?"
-GIVEN_CAPS = "|".join(sorted({g.upper() for g in GIVEN}))
 STREET = r"(?:Street|St|Avenue|Ave|Boulevard|Blvd|Road|Rd|Close|Court|Ct|Lane|Ln|Drive|Dr|Place|Pl|Square|Sq|Way|Terrace|Crescent|Parkway|Row|Mews)"
 GAP = r"(?:\s*,\s*|\s+|\s*\\n\s*|\s*,?\s*\n\s*)"
 TOWN = rf"{WORD_CAP}(?:[ \-]{WORD_CAP})?"
@@ -55,8 +54,8 @@ ADDRESS = re.compile(
 )
 NAME = re.compile(
     rf"""(?P<title>(?<![\w@]){TITLES}\.?[ ](?:{WORD_CAP}[ ](?:[{UP}]\.[ ])?)?{SURNAME}(?!\w))
-    |(?P<caps>(?<![\w@])(?:{GIVEN_CAPS})[ ](?:[{UP}]\.[ ])?{SURNAME_CAPS}(?!\w))
     |(?P<tcaps>(?<![\w@]){TITLES.replace("Señora|Señor|", "SEÑORA|SEÑOR|Señora|Señor|")}\.?[ ]{SURNAME_CAPS}(?!\w))
+    |(?P<caps>(?<![\w@])[{UP}]{{3,}}[ ](?:[{UP}]\.[ ])?{SURNAME_CAPS}(?!\w))
     |(?P<last>(?<![\w@'’]){SURNAME},[ ]{WORD_CAP}(?:\s[{UP}]\.)?(?!\w))
     |(?P<icaps>(?<![\w@.])[{UP}]\.[ ](?:[{UP}]\.[ ])?{SURNAME_CAPS}(?!\w))
     |(?P<initial>(?<![\w@.])[{UP}]\.[ ]?(?:[{UP}]\.[ ]?)?{SURNAME}(?!\w))
@@ -80,9 +79,13 @@ def name_spans(text: str) -> Iterator[tuple[int, int, str]]:
             rest = NAME.search(text, m.start() + len(first))
             if rest and rest.start() <= m.end() and re.split(r"[ ,]", rest.group(), maxsplit=1)[0] in GIVEN_SET:
                 m, form = rest, rest.lastgroup
+        if form == "caps" and first.capitalize() in NOT_GIVEN:
+            at = m.start() + len(first)
+            continue
         if form == "last":
             given = re.split(r",\s", m.group())[1].split()[0]
-            if given in NOT_GIVEN or given not in GIVEN_SET:
+            # a capital word behind an unknown given name: that begins a full name of its own
+            if given in NOT_GIVEN or first in NOT_GIVEN or (given not in GIVEN_SET and re.match(rf"[ ](?:[{UP}]\.[ ])?[{UP}]", text[m.end() : m.end() + 8])):
                 at = m.start() + len(first)
                 continue
         yield m.start(), m.end(), form
@@ -154,6 +157,8 @@ def candidates(text: str) -> list[Node]:
             surname = words[0] if form == "last" else words[-1]
             given = words[-1] if form == "last" else words[0]
             f = [f"form={form}", f"given={given in GIVEN_SET or words[-1] in GIVEN_SET}", f"form={form}&given={given in GIVEN_SET}", f"end3={surname[-3:].lower()}", f"end4={surname[-4:].lower()}", f"init={bool(re.search(r'[A-Z][.]', s))}", f"long={len(words) > 2}"]
+            if "caps" in form:
+                f.append(f"form={form}&loud={text[max(0, a - 20) : a].isupper()}{text[b : b + 20].isupper()}&given={given in GIVEN_SET}")
             f += around(text, a, b)
             nodes.append(Node(a, b, ("name",), f, surname.lower()))
             taken.append((a, b))
@@ -238,12 +243,12 @@ def _d(r: random.Random, pattern: str) -> str:
 
 
 def _name(r: random.Random) -> str:
-    s = _word(r, 1).capitalize() + r.choice(["", r.choice("bdklmnt")]) + r.choice(SUFFIX)
+    s = _word(r, 1).capitalize() + r.choice(["", r.choice("bdklmnt")]) + (r.choice(SUFFIX) if r.random() < 0.8 else r.choice("aeiou") + r.choice("bdfgklmnprstvz"))
     if r.random() < 0.15:
         s += "-" + _word(r).capitalize()
     if r.random() < 0.15:
         s = r.choice(["van ", "de la ", "al-", "O'", "van O'"]) + s
-    g, mid = r.choice(GIVEN), r.choice(["", "", f"{r.choice('ABCDEHKL')}. "])
+    g, mid = r.choice(GIVEN) if r.random() < 0.8 else _word(r, r.choice([1, 2])).capitalize() + r.choice(["", "a", "e", "u"]), r.choice(["", "", f"{r.choice('ABCDEHKL')}. "])
     x = r.random()
     if x < 0.5:
         return f"{g} {mid}{s}"
@@ -276,6 +281,9 @@ def _email(r: random.Random) -> str:
 
 def _decoy(r: random.Random) -> str:
     w, n = _word(r), r.randint(2, 99)
+    if r.random() < 0.12:  # capital words in a list and words in capital letters that are no names
+        a, b = _word(r).capitalize(), _word(r).capitalize()
+        return r.choice([f"We compared {a}, {b} and {w}.", f"In {a}, {b} was slow.", f"Services {a}, {b} restarted {w}.", f"{a.upper()} {b.upper()} in {w} is a constant.", f"The log says {a.upper()} {b.upper()} for {w}.", f"THE {w.upper()} WITH A {b.upper()} {a.upper()}.", f"{a.upper()} COVERS THE {b.upper()} {w.upper()}. NEXT", f"{a.upper()} EN LA {b.upper()} DE {w.upper()}.", f"SELECT {a.upper()} FROM {b.upper()} WHERE {w} = 1."])
     return r.choice([f"Order {_d(r, '000-00-00000')} and part {_d(r, '000-00-00000')} belong to {w}.", f"Build {_d(r, '0000000000')} finished at {_d(r, '2025-00-00 00:00:00')}.", f"Build {_d(r, '000000000')} finished at {_d(r, '2025-00-00 00:00:00')}.", f"Range {_d(r, '000000-0000')} in {w} is a byte offset.", f"Epoch {_d(r, '00000000000')} was stored in src/{w}.py as text.", f"Checksum {_d(r, '000 00 0000')} printed by {w} is not stable.", f"Checksum {_d(r, '000 0 0000')} printed by {w} is not stable.", f"Commit {_d(r, '0000')}af{_d(r, '000')} touches lines {_d(r, '120-00-0000')} of src/{w}.py.", f"Commit a1f touches lines {_d(r, '120-0-0000')} of {w}.", f"Trace id {_d(r, '000000000000')} came from 10.{n}.{n}.13 port {_d(r, '0000')}.", f"Main Loop step {n}, Avenue of retries {n}, see {w}.", f"{r.choice(['Quiet Harbor', 'Silver Anchor', 'Red Falcon'])} and {r.choice(['Amber Signal', 'Blue Meadow', 'Green Summit'])} are the next two releases of {w}.", f"The {r.choice(['Copper Lantern', 'Iron Bridge', 'Golden Path'])} milestone blocks src/{w}.py.", f"Clone git@git.{w}.example:team/{w}.git before running {w}.", f"Pinned {w}@{n}.2.3 because {w} needs it.", f"WATCH THE {w.upper()} RETRY FOR {n} S. {r.choice(['ASKED TO', 'PLAN:', 'FIXED', 'TESTS FOR', 'KEEP', 'MERGED'])} {_word(r).upper()}.", f"Invoice {_d(r, '0000000000')} and ticket {_d(r, '000-000-0000')} were closed.", f"Der Nutzer möchte {w} sehen. Die Rechnung Nummer {_d(r, '00000000')} fehlt.", f"Bitte {w.capitalize()} Lomtan prüfen.", f"For {w.capitalize()} Release {n} see the log at {_d(r, '2024-00-00 00:00')}.", f"Measured {_d(r, '0000')} ms and {_d(r, '0000000')} rows for {w}."])
 
 

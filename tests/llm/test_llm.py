@@ -163,6 +163,15 @@ def test_held_out_sentences(field):
     assert hit >= 0.97 * total and extra <= 0.03 * total
 
 
+def test_names_outside_the_lexicon(field):
+    """Given names, surnames and sentences that occur neither in the tables nor in the training sentences."""
+    for t in ("Reached Okafor, Chinedu by phone (+1 415 555 0113), agreed.", "Applicant CHINEDU OKAFOR, SSN 900-12-3456, call back."):
+        assert "Chinedu" not in pii.redacted(t, field) and "CHINEDU" not in pii.redacted(t, field), t
+    assert {n.same for n in pii.candidates("OKAFOR, see: Okafor, Chinedu; CHINEDU OKAFOR") if "name" in n.options} == {"okafor"}
+    for t in ("We compared Tulsen, Morgat and kel.", "The log says CACHE MISSED for kel."):
+        assert pii.redacted(t, field) == t
+
+
 def test_redaction_changes_nothing_else(spark, field):
     t = "Reached Katya Moldsen by phone (+1 415 555 0113), agreed.\nBuild 3955504606 finished. Clone git@git.tulgim.example:team/x.git, mail lev [at] corp [dot] example."
     assert pii.redacted(t, field) == "Reached [NAME] by phone ([PHONE]), agreed.\nBuild 3955504606 finished. Clone git@git.tulgim.example:team/x.git, mail [EMAIL]."
