@@ -31,10 +31,14 @@ def pair_deltas(signed: DataFrame) -> DataFrame:
 class PairTable:
     """The persistent state below a path: pairs (bucket, a, b, n), items (bucket, item, n) and baskets (bucket, basket, item).
 
-    Every update writes a new version of the buckets it touches and a list of the versions in force; a lost executor or
-    a failed update leaves the version before it in force.
+    Every update writes the three tables anew, and they come into force when all are written; a lost executor or a failed
+    update leaves the version before it in force. After an update, touched holds the items whose pairs must be scored again
+    (scores(items=touched)), or None if all must because the number of baskets is another; gone the pairs that are no more.
     """
 
+    touched: DataFrame | None = None
+    gone: DataFrame | None = None
+
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets, self.version = spark, path or scratch(spark, "pairs"), buckets, 0
         self.at: dict[str, str | None] = {"pairs": None, "items": None, "baskets": None}
@@ -42,18 +46,19 @@ class PairTable:
     def table(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.at[name]) if self.at[name] else None
 
-    def _write(self, name: str, df: DataFrame, *key: str) -> None:
+    def _write(self, name: str, df: DataFrame, *key: str) -> str:
         to = f"{self.path}/{name}-{self.version}"
         df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")).write.option("compression", "zstd").parquet(to)
-        self.at[name] = to
+        return to
 
     def load(self, rows: DataFrame) -> None:
         """The state of these distinct (basket, item) rows alone: what an update of an empty state by all baskets gives."""
         self.version += 1
         signed = rows.withColumn("sign", F.lit(1).cast("long")).repartition("basket")
-        self._write("pairs", pair_deltas(signed), "a", "b")
-        self._write("items", rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item")
-        self._write("baskets", rows, "basket")
+        pairs = self._write("pairs", pair_deltas(signed), "a", "b")
+        items = self._write("items", rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item")
+        self.at = {"pairs": pairs, "items": items, "baskets": self._write("baskets", rows, "basket")}
+        self.touched = self.gone = None
 
     def update(self, changed: DataFrame) -> None:
         """Put (basket, item) rows in the place of the same baskets' former rows; an item that is null empties its basket.
@@ -73,13 +78,18 @@ class PairTable:
         # rows that stay cancel out in the marginals; pairs need old and new baskets apart
         signed = cut(old.unionAll(new))
         deltas = signed.groupBy("item").agg(F.sum("sign").alias("n")).where("n <> 0")
-        self.touched = cut(deltas.select("item"))
-        pairs = self.table("pairs").select("a", "b", "n").unionAll(pair_deltas(signed)).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+        # a pair's own count may change where its items' don't, and a changed number of baskets changes every score
+        changes = cut(pair_deltas(signed))
+        many = {r["sign"]: r["c"] for r in signed.groupBy("sign").agg(F.countDistinct("basket").alias("c")).collect()}
+        touched = None
+        if many.get(-1, 0) == many.get(1, 0):
+            touched = cut(deltas.select("item").unionAll(changes.select(F.explode(F.array("a", "b")).alias("item"))).distinct())
+        pairs = self.table("pairs").select("a", "b", "n").unionAll(changes).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
         items = self.table("items").select("item", "n").unionAll(deltas).groupBy("item").agg(F.sum("n").alias("n")).where("n > 0")
         rest = kept.join(keys, "basket", "left_anti").unionAll(new.select("basket", "item"))
-        self._write("pairs", pairs, "a", "b")
-        self._write("items", items, "item")
-        self._write("baskets", rest, "basket")
+        to = {"pairs": self._write("pairs", pairs, "a", "b"), "items": self._write("items", items, "item"), "baskets": self._write("baskets", rest, "basket")}
+        self.at, self.touched = to, touched
+        self.gone = changes.where("n < 0").select("a", "b").join(self.table("pairs").select("a", "b"), ["a", "b"], "left_anti")
 
     def scores(self, least: int = 1, items: DataFrame | None = None) -> DataFrame:
         """(entity_a, entity_b, n_ab, n_a, n_b, n, lift, npmi) of pairs with n_ab >= least; of pairs with one of items only, if given.
@@ -107,6 +117,15 @@ def table_of(mentions: DataFrame, basket: str = "memory_id", item: str = "entity
     return t
 
 
+def updated(mentions: DataFrame, basket: str = "memory_id", item: str = "entity_id") -> DataFrame:
+    """The rescored pairs of a table that was loaded with three quarters of the baskets and updated by the others: the scores of all."""
+    rows = cut(baskets(mentions, basket, item)).withColumn("late", F.pmod(F.xxhash64("basket"), F.lit(4)) == 0)
+    t = PairTable(mentions.sparkSession, buckets=max(BUCKETS, rows.count() // ROWS_A_BUCKET))
+    t.load(rows.where("not late").drop("late"))
+    t.update(rows.where("late").drop("late"))
+    return t.scores(items=t.touched)
+
+
 def found(mentions: DataFrame, least: int = 6, times: int = 4) -> DataFrame:
     """(entity_a, entity_b): pairs that share at least least memories and at least times as many as chance would have."""
     s = table_of(mentions).scores(least)

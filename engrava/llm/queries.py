@@ -42,6 +42,10 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.table_of(load(spark, sf_dir, "entity_mentions")).scores().drop("npmi")
 
 
+def p4_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.updated(load(spark, sf_dir, "entity_mentions")).drop("npmi")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.found(load(spark, sf_dir, "memories"))
 
@@ -75,4 +79,4 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_redacted, p3_found, p3_groups, p4_found, p4_pairs, p5_found, p5_neighbours, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_redacted, p3_found, p3_groups, p4_found, p4_pairs, p4_updated, p5_found, p5_neighbours, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_scores)}

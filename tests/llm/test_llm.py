@@ -12,7 +12,7 @@ from datetime import datetime, timedelta  # noqa: E402
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from engrava.llm import clusters, common, incremental, leaks, neardup, packing, pairs, pii, residue, vectors  # noqa: E402
+from engrava.llm import clusters, common, incremental, leaks, neardup, packing, pairs, pii, queries, residue, vectors  # noqa: E402
 
 T0 = datetime(2025, 1, 1)
 WORDS = "cache ledger cursor window parser bundle router filter ticket signal branch worker harbor meadow copper lantern silver anchor river falcon".split()
@@ -275,6 +275,31 @@ def test_updates_equal_a_new_count(spark):
     assert pairs.found(d(m[:0])).isEmpty()
 
 
+def test_rescored_pairs_equal_a_new_count(spark, sf):
+    d = lambda rows: spark.createDataFrame(rows, "memory_id string, entity_id string")
+    rows = [("b1", "x"), ("b1", "y"), ("b2", "z"), ("b2", "y"), ("b3", "x"), ("b3", "y"), ("b3", "z"), ("b4", "v"), ("b4", "w")]
+    scored = lambda f: {(r["entity_a"], r["entity_b"]): r for r in f.collect()}
+    for changed, gone in (
+        ([("b1", "x"), ("b1", "w"), ("b4", "v"), ("b4", "y")], {("v", "w")}),  # y and w change baskets: no marginal changes
+        ([("b1", "z"), ("b1", "y"), ("b2", "x"), ("b2", "y"), ("b2", "v")], set()),
+        ([("b1", "y"), ("b1", "x"), ("b5", "x")], set()),  # one basket more
+        ([("b4", None)], {("v", "w")}),  # one basket fewer
+    ):
+        t = pairs.table_of(d(rows))
+        before = scored(t.scores())
+        t.update(d(changed).select(F.col("memory_id").alias("basket"), F.col("entity_id").alias("item")))
+        after = [x for x in rows if x[0] not in {b for b, _ in changed}] + [x for x in changed if x[1]]
+        want = scored(pairs.table_of(d(after)).scores())
+        got = scored(t.scores(items=t.touched))
+        assert {(r["a"], r["b"]) for r in t.gone.collect()} == gone == before.keys() - want.keys()
+        assert {k: r for k, r in before.items() if k not in gone} | got == want
+    t = pairs.table_of(d(rows))
+    t.update(d([("b1", "z"), ("b1", "y"), ("b2", "x"), ("b2", "y")]).select(F.col("memory_id").alias("basket"), F.col("entity_id").alias("item")))
+    assert {r["item"] for r in t.touched.collect()} == set()  # the same pairs in other baskets: nothing to score again
+    q = queries.queries()
+    assert sorted(map(str, q["p4_updated"](spark, sf).collect())) == sorted(map(str, q["p4_pairs"](spark, sf).collect()))
+
+
 # ---- problem 7
 
 
