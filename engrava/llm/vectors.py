@@ -9,22 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrava.llm.common import scratch
+from engrava.llm.common import remove, scratch
 from engrava.session import cut
 
 DIM, NEAR, NEIGHBOURS = 64, 0.80, 5
-#: For each tree of the forest the number of places in its sorted array where a vector stands (under its best symbols).
-PROBES = (2, 1)
-#: A prefix is lengthened while more vectors than this share it; a prefix is never longer than DEPTH symbols.
-LEAF, DEPTH = 32768, 4
-#: A vector ascends to shorter prefixes until a pair as close as its last neighbour would have shared a prefix with at least this chance.
-SURE = 0.99
+#: Trees of the forest: each is one array of all vectors, sorted by their hash strings.
+TREES = 4
+#: A hash string: the signed axis of a rotation with the greatest projection (FIRST_BITS), then LATER times that of two further axes (2 bits each).
+FIRST_BITS, LATER = 7, 27
+#: A prefix that more than LEAF vectors share is lengthened; a vector ascends until it shares its prefix with at least LEAF / 2.
+LEAF = 2048
+#: Cosines of 16-bit directions are off by less than this; what lies nearer to a bound is decided by the stored values.
+DOUBT = 1e-4
 #: Rows of a block of queries that is compared with its leaf at a time.
 BLOCK = 512
-
-
-#: Tables of ids up to this size (checked) are broadcast when surrogates are turned into ids; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
+#: Tables up to this size (rows counted) are broadcast; larger ones are joined as the optimiser sees fit.
+BROADCAST_BYTES = 8 << 20
 
 
 def usable_vectors(v: pd.Series) -> np.ndarray:
@@ -56,16 +56,38 @@ def quantised(memories: DataFrame, key: str = "id", vector: str = "embedding", v
     return last.sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n"), "q")
 
 
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The frame with a broadcast hint if its rows, counted now, take up at most BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def with_ids(df: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     """The frame with surrogates in columns turned into ids; ids: (id, n)."""
-    ids = ids.select("id", "n")
-    if ids.count() * 64 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
+    ids = if_small(ids.select("id", "n"), 64)
     for c in columns:
         df = df.join(ids.select(F.col("n").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c).withColumnRenamed(f"{c}_id", c)
     return df
 
 
+def exact_cosines(pairs: DataFrame, numbers: DataFrame, memories: DataFrame, key: str = "id", vector: str = "embedding", version: str = "updated_at") -> DataFrame:
+    """(a, b, cosine) of pairs (a, b) of numbers: in double precision from the stored values, rounded to 6 decimals.
+
+    Meant for the few pairs that 16-bit directions leave in doubt: only their vectors are read again and joined.
+    """
+    ends = with_ids(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().withColumn("x", F.col("n")), numbers, "x")
+    rows = memories.where(F.col(key).isNotNull()).select(F.col(key).alias("x"), F.col(version).alias("version"), F.col(vector).alias("v"))
+    ends = cut(ends)
+    v = rows.join(if_small(ends, 64), "x").groupBy("n").agg(F.max(F.struct("version", "v")).alias("m")).select("n", F.col("m.v").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = directions(b["va"]), directions(b["vb"])
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "cosine": np.round((x * y).sum(axis=1), 6)})
+
+    j = pairs.select("a", "b").join(v.select(F.col("n").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("n").alias("b"), F.col("v").alias("vb")), "b")
+    return j.mapInPandas(run, "a long, b long, cosine double")
+
+
 def directions(v: pd.Series) -> np.ndarray:
     if not len(v):
         return np.zeros((0, DIM))
@@ -84,44 +106,76 @@ def unpack_directions(b: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def rotations(trees: int, depth: int, dim: int, seed: int) -> np.ndarray:
+def rotations(trees: int, seed: int, dim: int = DIM) -> np.ndarray:
+    """Two rotations per tree: that of the first symbol and that of the later ones."""
     rng = np.random.default_rng(seed)
-    return np.stack([np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(depth)]) for _ in range(trees)])
+    return np.stack([np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(2)]) for _ in range(trees)])
+
+
+def strings(u: np.ndarray, rot: np.ndarray) -> np.ndarray:
+    """Hash strings of unit vectors, one column per tree: its number, the first symbol, the later symbols, most significant first."""
+    out = np.empty((len(u), len(rot)), dtype=np.int64)
+    for t, (one, two) in enumerate(rot):
+        p = u @ one
+        s = (np.int64(t) << FIRST_BITS) | np.concatenate([p, -p], axis=1).argmax(axis=1)
+        p = u @ two
+        x, y = p[:, 0 : 2 * LATER : 2], p[:, 1 : 2 * LATER : 2]
+        symbols = np.where(np.abs(x) >= np.abs(y), x < 0, 2 + (y < 0)).astype(np.int64)
+        for d in range(LATER):
+            s = (s << 2) | symbols[:, d]
+        out[:, t] = s
+    return out
 
 
-def strings(u: np.ndarray, tree: np.ndarray, probes: int) -> list[tuple[int, np.ndarray]]:
-    """(variant, hash strings), probes times two: symbol d is the signed axis of rotation d with the greatest projection.
+def prefix(s: F.Column, length: int) -> F.Column:
+    """The first symbols of a hash string; of length 0, the tree's number."""
+    return F.shiftright(s, 2 * (LATER + 1 - length) if length else 2 * LATER + FIRST_BITS)
 
-    The probes of a vector differ in their first symbol (its best axes). Variant 1 has the second best axis as its second
-    symbol; it matters only where prefixes are longer than one symbol.
-    """
-    both = [np.concatenate([p, -p], axis=1) for p in (u @ r for r in tree)]
-    first = np.argsort(-both[0], axis=1, kind="stable")[:, :probes]
-    second = np.argsort(-both[1], axis=1, kind="stable")[:, :2] if len(both) > 1 else np.zeros((len(u), 0), dtype=np.int64)
-    rest = [b.argmax(axis=1)[:, None] for b in both[2:]]
-    return [(v, np.concatenate([first[:, [i]], second[:, [v]], *rest], axis=1).astype(np.int64) if len(both) > 1 else first[:, [i]].astype(np.int64)) for i in range(first.shape[1]) for v in range(max(1, second.shape[1]))]
 
+def leaves(codes: DataFrame, leaf: int = LEAF) -> list[DataFrame]:
+    """For every prefix length from 1 a table (p, leaf, tiles): the leaf that the places with a prefix p of that length, and of no other table, are in.
 
-def sure_cosines(rot: np.ndarray, probes: tuple[int, ...], lengths: int, seed: int, pairs: int = 2000) -> list[float]:
-    """For each prefix length from 1 the least cosine (in steps of .01) at which random pairs share a prefix with a chance of at least SURE; infinite if there's none."""
-    rng = np.random.default_rng(seed)
-    a = directions(pd.Series(list(rng.standard_normal((pairs, DIM)))))
-    b = rng.standard_normal((pairs, DIM))
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    mine = [strings(a, tree, n) for tree, n in zip(rot, probes)]
-    out, sure = [float("inf")] * lengths, [True] * lengths
-    for c in np.arange(100, int(NEAR * 100) - 1, -1) / 100:
-        theirs = [strings(c * a + np.sqrt(1 - c * c) * b, tree, n) for tree, n in zip(rot, probes)]
-        for d in range(lengths):
-            met = np.zeros(pairs, dtype=bool)
-            for x, y in zip(mine, theirs):
-                for _, p in x:
-                    for _, q in y:
-                        met |= (p[:, : d + 1] == q[:, : d + 1]).all(axis=1)
-            sure[d] &= bool(met.mean() >= SURE)
-            if sure[d]:
-                out[d] = float(c)
+    codes: (s). Descent: a prefix that more than leaf places share is crowded, and its places are told apart by one more symbol.
+    Ascent, in all trees at once, from the longest prefixes up: what hangs below a crowded prefix is filled into leaves of
+    about leaf places in the order of the sorted array; a rest of less than half of that ascends, and is filled in with
+    what its parent's siblings leave. So a leaf is a stretch of the sorted array that holds all longest matches of its
+    members, and at least leaf / 2 places unless the tree has no more. Strings that are equal to their end and crowded make
+    a leaf of several tiles. Prefix counts are combined map-side; tables have as many rows as there are prefixes below
+    crowded ones, and the driver sees only whether there is a crowded one.
+    """
+    kids, live, d = [], codes, 0
+    while True:
+        d += 1
+        counted = cut(live.groupBy(prefix(F.col("s"), d).alias("p")).agg(F.count(F.lit(1)).alias("c")).withColumn("up", F.shiftright("p", 2 if d > 1 else FIRST_BITS)))
+        kids.append(counted)
+        if d > LATER:
+            break
+        crowded = counted.where(F.col("c") > leaf).select(F.col("p").alias("full"))
+        if crowded.isEmpty():
+            break
+        live = live.join(if_small(crowded, 8), prefix(F.col("s"), d) == F.col("full"), "left_semi")
+    rest: DataFrame | None = None
+    filled: list[DataFrame] = []
+    for d in range(len(kids), 0, -1):
+        entries = kids[d - 1].where((F.col("c") <= leaf) | F.lit(d > LATER)).select("up", "p", "c", F.lit(False).alias("crowded"))
+        if rest is not None:
+            entries = entries.unionAll(rest)
+        order = Window.partitionBy("up").orderBy("p", "crowded")
+        entries = entries.withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("bin", F.floor(F.col("before") / leaf))
+        whole = Window.partitionBy("up", "bin")
+        entries = entries.withColumn("size", F.sum("c").over(whole)).withColumn("leaf", F.min(F.struct("p", "crowded")).over(whole)["p"])
+        up = (F.col("size") * 2 < leaf) & F.lit(d > 1)
+        shift = 2 * (LATER + 1 - d)
+        entries = cut(entries.select("up", "p", "c", "crowded", "size", F.when(~up, F.shiftleft("leaf", shift) + d).alias("leaf")))
+        filled.insert(0, entries)
+        rest = entries.where("leaf is null").groupBy("up").agg(F.sum("c").alias("c")).select(F.shiftright("up", 2 if d > 2 else FIRST_BITS).alias("up"), F.col("up").alias("p"), "c", F.lit(True).alias("crowded"))
+    out, above = [], None
+    for d, entries in enumerate(filled, start=1):
+        if above is not None:
+            entries = entries.join(above, "up", "left").withColumn("leaf", F.coalesce("leaf", "above")).drop("above")
+        above = entries.where("crowded").select(F.col("p").alias("up"), F.col("leaf").alias("above"))
+        tiles = F.when(F.lit(d > LATER) & (F.col("c") > leaf), F.ceil(F.col("c") / leaf)).otherwise(F.lit(1)).cast("int")
+        out.append(cut(entries.where("not crowded").select("p", "leaf", tiles.alias("tiles"))))
     return out
 
 
@@ -147,158 +201,135 @@ def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float, asking:
         yield rows[keep] + s, cols[keep], vals[keep]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, probes: tuple[int, ...] = PROBES, leaf: int = LEAF, depth: int = DEPTH, seed: int = 5) -> DataFrame:
-    """(n, other, cosine): for every vector of (n, q) its up to k most similar others with at least near; ties by n.
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, trees: int = TREES, leaf: int = LEAF, seed: int = 5, spare: int = 0) -> DataFrame:
+    """(n, other, cosine): for every vector of (n, q) its up to k + spare most similar others with at least near; ties by n.
 
-    Each tree is an array sorted by hash strings. A vector's first candidates are the vectors that share its longest prefix
-    which is still shared by enough others: prefixes start with one symbol and are lengthened only while more than leaf
-    vectors share them, which is the descent. Then all trees ascend together, one symbol at a time: a vector that has fewer
-    than k neighbours, or whose last is less close than sure_cosines asks of the prefix, meets all vectors of the prefix
-    that is one shorter, down to one symbol, the top of each tree. Prefixes of more than leaf vectors are met in pairs of
-    tiles. All vectors are indexed and all are queries; the forest is approximate, its recall is measured against
-    brute force. Vectors with equal directions are entered under their k + 1 smallest numbers only: no other copy can be among
-    anyone's k, and the others' neighbours are the k smallest. No vectors, no rows.
+    A forest of trees, each an array sorted by long hash strings and cut into leaves (see leaves): a vector's candidates are,
+    in every tree, those that share its longest prefix which enough others share. All vectors are indexed and all are
+    queries; the forest is approximate, its recall is measured against brute force. A leaf has at most 2 * leaf vectors, so
+    work and shuffle are in proportion to the number of vectors, but for strings that are equal to their end: these are
+    compared in pairs of tiles. Vectors with equal directions are entered under their k + 1 smallest numbers only: no other
+    copy can be among anyone's k, and the others' neighbours are the k smallest. No vectors, no rows.
     """
     spark = vectors.sparkSession
-    rot = rotations(len(probes), depth, DIM, seed)
+    rot, most = rotations(trees, seed), k + spare
     ranked = vectors.select("n", "q", F.xxhash64("q").alias("h"))
-    hot = cut(ranked.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > k + 1).select("h"))
+    hot = cut(ranked.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most + 1).select("h"))
     copied = None
     kept = ranked.select("n", "q")
     if not hot.isEmpty():
         some = ranked.join(hot, "h", "left_semi")
-        # the k + 1 smallest numbers of each direction, of salted parts first, so that no task ranks a whole hot group
+        # the smallest numbers of each direction, of salted parts first, so that no task ranks a whole hot group
         part = Window.partitionBy("h", "q", "salt").orderBy("n")
-        few = some.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(64))).withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= k + 1)
-        few = few.withColumn("rn", F.row_number().over(Window.partitionBy("h", "q").orderBy("n"))).where(F.col("rn") <= k + 1).select("h", "q", "n", "rn")
+        few = some.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(64))).withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= most + 1)
+        few = few.withColumn("rn", F.row_number().over(Window.partitionBy("h", "q").orderBy("n"))).where(F.col("rn") <= most + 1).select("h", "q", "n", "rn")
         few = cut(few)
         kept = ranked.join(hot, "h", "left_anti").select("n", "q").unionAll(few.select("n", "q"))
-        first = few.where(F.col("rn") <= k).select("h", "q", F.col("n").alias("other"))
+        first = few.where(F.col("rn") <= most).select("h", "q", F.col("n").alias("other"))
         copied = some.join(few.select("n"), "n", "left_anti").join(first, ["h", "q"]).select("n", "other", F.lit(1.0).alias("cosine"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, np.ndarray, pd.DataFrame]]:
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            u = unpack_directions(b["q"])
-            for t, places in enumerate(probes):
-                for variant, s in strings(u, rot[t], places):
-                    yield t, variant, s, b
-
-    def keys(t: int, s: np.ndarray) -> np.ndarray:
-        """Prefixes as numbers; -1 stands for an end."""
-        key = np.zeros(len(s), dtype=np.int64)
-        for d in range(depth):
-            key = key * (2 * DIM + 1) + (s[:, d] + 1)
-        return key * len(probes) + t
-
-    def prefix(s: np.ndarray, length: int) -> np.ndarray:
-        return np.where(np.arange(depth)[None, :] < length, s, -1)
-
-    def crowd(length: int):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for t, variant, s, _ in place(batches):
-                if variant and length == 1:
-                    continue
-                p, c = np.unique(keys(t, prefix(s, length)), return_counts=True)
-                yield pd.DataFrame({"p": p, "c": c})
-
-        return count
-
-    # prefixes that more than leaf vectors share, and how many do; there are at most places / leaf of each length
-    crowded: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    for d in range(1, depth):
-        full = kept.select("q").mapInPandas(crowd(d), "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") > leaf).orderBy("p").collect()
-        if not full:
-            break
-        crowded.append(np.array([r["p"] for r in full], dtype=np.int64))
-        sizes.append(np.array([r["c"] for r in full], dtype=np.int64))
-    shared = spark.sparkContext.broadcast(crowded)
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t, variant, s, b in place(batches):
-            at = prefix(s, 1)
-            for d, full in enumerate(shared.value, start=1):
-                longer = np.isin(keys(t, prefix(s, d)), full) & (at[:, d - 1] >= 0)
-                at = np.where(longer[:, None], prefix(s, d + 1), at)
-            keep = slice(None) if not variant else at[:, 1] >= 0  # a variant stands only where its second symbol counts
-            yield pd.DataFrame({"leaf": keys(t, at)[keep], "n": b["n"].to_numpy()[keep], "q": b["q"].to_numpy()[keep]})
-
-    def above(d: int):
-        """The places in crowded prefixes of d symbols, each with its tile and how many tiles the prefix has."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for t, variant, s, b in place(batches):
-                if variant and d == 1:
-                    continue
-                p = keys(t, prefix(s, d))
-                full = shared.value[d - 1]
-                at = np.minimum(np.searchsorted(full, p), len(full) - 1)
-                keep = full[at] == p
-                n = b["n"].to_numpy()[keep]
-                tiles = -(-sizes[d - 1][at[keep]] // leaf)
-                own = (pd.util.hash_array(n) % tiles.astype(np.uint64)).astype(np.int64)
-                yield pd.DataFrame({"leaf": p[keep], "own": own, "tiles": tiles, "n": n, "q": b["q"].to_numpy()[keep]})
-
-        return run
-
-    def listed(ids: np.ndarray, u: np.ndarray, asking: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+            yield pd.DataFrame({"s": strings(unpack_directions(b["q"]), rot).ravel()})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["n", "q"]].assign(s=list(strings(unpack_directions(b["q"]), rot)))
+
+    path = scratch(spark, "codes")
+    kept.select("q").mapInPandas(code, "s long").write.option("compression", "zstd").parquet(path)
+    places = kept.mapInPandas(place, "n long, q binary, s array<long>").select("n", "q", F.explode("s").alias("s"))
+    places = places.withColumns({"leaf": F.lit(None).cast("long"), "tiles": F.lit(None).cast("int")})
+    for d, table in enumerate(leaves(spark.read.parquet(path), leaf), start=1):
+        t = if_small(table.select("p", F.col("leaf").alias("at"), F.col("tiles").alias("in")), 24)
+        places = places.join(t, prefix(F.col("s"), d) == F.col("p"), "left").select("n", "q", "s", F.coalesce("leaf", "at").alias("leaf"), F.coalesce("tiles", "in").alias("tiles"))
+    own = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int")).otherwise(F.lit(0))
+    # a place asks in all tiles of its leaf and is met in its own; with a single tile that is one row
+    both = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("role")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role")))
+    placed = places.withColumn("own", own).withColumn("x", F.explode(F.when(F.col("tiles") > 1, F.concat(asks, meets)).otherwise(F.array(both)))).select("leaf", "x.i", "x.j", "x.role", "n", "q")
+    empty = pd.DataFrame({"n": pd.Series(dtype="int64"), "others": pd.Series(dtype=object), "cosines": pd.Series(dtype=object)})
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        role = pdf["role"].to_numpy()
+        ids, u = pdf["n"].to_numpy(), unpack_directions(pdf["q"])
+        asking = None if (role == 2).all() else (ids[role != 1], u[role != 1])
+        ids, u = ids[role != 0], u[role != 0]
+        if not len(ids):
+            return empty
         who = ids if asking is None else asking[0]
         mine, others, cosines = [], [], []
-        for r, c, v in top_neighbours(ids, u, k, near, asking):
+        for r, c, v in top_neighbours(ids, u, most, near - DOUBT, asking):
             begin = np.nonzero(np.diff(r, prepend=-1))[0]
             mine.append(who[r[begin]])
             others += np.split(ids[c], begin[1:]) if len(begin) else []
             cosines += np.split(v.astype(np.float32), begin[1:]) if len(begin) else []
-        return pd.DataFrame({"n": np.concatenate(mine) if mine else who[:0], "others": pd.Series(others, dtype=object), "cosines": pd.Series(cosines, dtype=object)})
+        return pd.DataFrame({"n": np.concatenate(mine), "others": pd.Series(others, dtype=object), "cosines": pd.Series(cosines, dtype=object)}) if mine else empty
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("n").sort_values("n")
-        return listed(pdf["n"].to_numpy(), unpack_directions(pdf["q"]))
-
-    def search_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, met = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("n")
-        if asks.empty or met.empty:
-            return pd.DataFrame({"n": pd.Series(dtype="int64"), "others": pd.Series(dtype=object), "cosines": pd.Series(dtype=object)})
-        return listed(met["n"].to_numpy(), unpack_directions(met["q"]), (asks["n"].to_numpy(), unpack_directions(asks["q"])))
-
-    def best_of(partial: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        one = partial.repartition("n").select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
-        one = one if before is None else one.unionAll(before)
-        best = one.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
-        rank = Window.partitionBy("n").orderBy(F.col("cosine").desc(), "other")
-        return best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("n", "other", "cosine")
-
-    placed = kept.mapInPandas(leaves, "leaf long, n long, q binary")
-    best = best_of(placed.groupBy("leaf").applyInPandas(search, "n long, others array<long>, cosines array<float>"))
-    sure = sure_cosines(rot, probes, len(crowded) + 1, seed) if crowded else []
-    form = "leaf long, own long, tiles long, n long, q binary"
-    for d in range(len(crowded), 0, -1):
-        best = cut(best)
-        enough = best.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.min("cosine").alias("last")).where((F.col("c") >= k) & (F.col("last") >= F.lit(sure[d]))).select("n")
-        asks = kept.join(enough, "n", "left_anti").select("n", "q").mapInPandas(above(d), form)
-        asks = asks.select("leaf", F.col("own").alias("i"), F.explode(F.expr("sequence(0L, tiles - 1)")).alias("j"), F.lit(True).alias("asks"), "n", "q")
-        met = kept.mapInPandas(above(d), form)
-        met = met.select("leaf", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "n", "q")
-        partial = asks.unionAll(met).groupBy("leaf", "i", "j").applyInPandas(search_tile, "n long, others array<long>, cosines array<float>")
-        best = best_of(partial, best)
+    partial = placed.groupBy("leaf", "i", "j").applyInPandas(search, "n long, others array<long>, cosines array<float>")
+    one = partial.repartition("n").select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
+    best = one.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
+    rank = Window.partitionBy("n").orderBy(F.col("cosine").desc(), "other")
+    best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).select("n", "other", "cosine")
     return best if copied is None else best.unionAll(copied)
 
 
-def stored(memories: DataFrame, what: str) -> DataFrame:
-    """quantised(memories), written to the shared folder, so that numbers stay the same however often it is read."""
+def decided(near_by: DataFrame, numbers: DataFrame, memories: DataFrame, k: int = NEIGHBOURS, near: float = NEAR) -> DataFrame:
+    """(n, other): of more than k neighbours each (n, other, cosine) the k best, where DOUBT leaves it open by the stored values.
+
+    In doubt are cosines next to the bound and those next to that of the k-th neighbour.
+    """
+    by_n = Window.partitionBy("n")
+    order = by_n.orderBy(F.col("cosine").desc(), "other")
+    c = near_by.withColumn("r", F.row_number().over(order))
+    c = c.withColumn("last", F.max(F.when(F.col("r") == k, F.col("cosine"))).over(by_n))
+    close = F.abs(F.col("cosine") - F.coalesce("last", F.lit(-2.0))) <= 2 * DOUBT
+    c = c.withColumn("rivals", F.sum(close.cast("int")).over(by_n))
+    doubtful = (close & (F.col("rivals") > 1)) | (F.abs(F.col("cosine") - F.lit(near)) <= DOUBT)
+    c = c.select("n", "other", "cosine", doubtful.alias("doubtful"), "last")
+    c = cut(c.where(F.col("doubtful") | (F.col("r") <= k)))
+    asked = cut(c.where("doubtful").select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b")).distinct())
+    if asked.isEmpty():
+        return c.where(F.col("cosine") >= near).select("n", "other")
+    exact = cut(exact_cosines(asked, numbers, memories))
+    exact = if_small(exact.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("cosine").alias("exact")), 24)
+    # only vectors with a pair in doubt are ranked again
+    open_ = c.where("doubtful").select("n").distinct()
+    sure = c.join(open_, "n", "left_anti").select("n", "other")
+    c = c.join(open_, "n", "left_semi").join(exact, (F.least("n", "other") == F.col("x")) & (F.greatest("n", "other") == F.col("y")), "left")
+    value = F.when(F.col("doubtful"), F.col("exact")).otherwise(F.col("cosine"))
+    above = F.when(F.col("doubtful"), 1).otherwise(0)
+    c = c.withColumn("value", value).where(F.col("value") >= near)
+    c = c.withColumn("r", F.row_number().over(by_n.orderBy(above, F.col("value").desc(), "other"))).where(F.col("r") <= k)
+    return sure.unionAll(c.select("n", "other"))
+
+
+def stored(memories: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """quantised(memories) as a table in the shared folder, so that numbers stay the same however often it is read, and its path."""
     path = scratch(memories.sparkSession, what)
     quantised(memories).write.option("compression", "zstd").parquet(path)
-    return memories.sparkSession.read.parquet(path)
+    return memories.sparkSession.read.parquet(path), path
 
 
 def neighbour_table(memories: DataFrame) -> DataFrame:
-    """(id, neighbour_id, cosine): every usable vector's neighbours; rows of unusable vectors are left out."""
-    v = stored(memories, "vectors")
-    return with_ids(neighbours(v.select("n", "q")), v, "n", "other").select(F.col("n").alias("id"), F.col("other").alias("neighbour_id"), "cosine")
+    """(id, neighbour_id, cosine): every usable vector's neighbours; rows of unusable vectors are left out.
+
+    Which they are is decided as in found; the cosines shown are those of 16-bit directions, off by less than DOUBT.
+    """
+    v, path = stored(memories, "vectors")
+    near_by = cut(neighbours(v.select("n", "q"), spare=1))
+    kept = decided(near_by, v, memories).join(near_by, ["n", "other"])
+    out = cut(with_ids(kept, v, "n", "other").select(F.col("n").alias("id"), F.col("other").alias("neighbour_id"), "cosine"))
+    remove(memories.sparkSession, path)
+    return out
 
 
 def found(memories: DataFrame) -> DataFrame:
     """(id_a, id_b): pairs of which one is a neighbour of the other."""
-    v = stored(memories, "vectors")
-    n = neighbours(v.select("n", "q")).select(F.least("n", "other").alias("id_a"), F.greatest("n", "other").alias("id_b")).distinct()
-    return with_ids(n, v, "id_a", "id_b")
+    v, path = stored(memories, "vectors")
+    n = decided(neighbours(v.select("n", "q"), spare=1), v, memories).select(F.least("n", "other").alias("id_a"), F.greatest("n", "other").alias("id_b")).distinct()
+    out = cut(with_ids(n, v, "id_a", "id_b"))
+    remove(memories.sparkSession, path)
+    return out
