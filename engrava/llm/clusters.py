@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrava.llm.common import components
-from engrava.llm.vectors import DIM, NEAR, stored, unpack_directions, with_ids
+from engrava.llm.common import components, remove
+from engrava.llm.vectors import DIM, DOUBT, NEAR, exact_cosines, if_small, stored, unpack_directions, with_ids
 from engrava.session import cut
 
-#: Vectors the mixture is fitted on at most, chosen by a hash over all of them (documented bound of the index's fit).
-SAMPLE = 16_384
+#: Vectors a mixture is fitted on at most, chosen by a hash over all of them: that of the whole table, and that of one cell (documented bounds).
+SAMPLE, CELL_SAMPLE = 16_384, 2_048
 #: Features kept after standardising, as the leading principal components.
 REDUCED = 24
-#: Numbers of components that the information criterion chooses from.
-CHOICES = (1, 4, 16, 64, 128, 256)
+#: Numbers of components that the information criterion chooses from, for the whole table and for a cell.
+CHOICES, CELL_CHOICES = (1, 4, 16, 64), (1, 4, 16)
 #: Added to every variance.
 RIDGE = 0.02
 #: A vector is put with its best components: this many, and only those whose share is at least SHARE of the best's.
-PLACES, SHARE = 3, 1e-4
-#: A component of more vectors than this is cut into tiles of this size; every pair of tiles is one task.
-TILE = 16_384
+PLACES, SHARE = 3, 1e-3
+#: A cell (what is put with a component) of more places than this is divided by a mixture of its own, up to DEPTH times; one that can't be is
+#: compared in pairs of tiles of this size.
+CELL, DEPTH = 2_048, 8
+#: Places of a large cell that one task puts with the cell's components.
+CHUNK = 50_000
+#: Vectors of a cell that no mixture divides, whose links are looked up first.
+LEADERS = 32
 #: Smallest group.
 LEAST = 5
 
@@ -46,6 +53,15 @@ class Mixture:
         const = np.log(self.weights) - 0.5 * (np.log(self.variances).sum(axis=1) + z.shape[1] * math.log(2 * math.pi) + (self.centres**2 * inv).sum(axis=1))
         return const[None, :] + z @ (self.centres * inv).T - 0.5 * (z * z) @ inv.T
 
+    def best(self, u: np.ndarray, places: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, components): for every row its up to places best components whose share is at least that of the best's."""
+        j = self.log_joint(self.features(u).astype(np.float64))
+        k = min(places, j.shape[1])
+        best = np.argpartition(-j, k - 1, axis=1)[:, :k]
+        val = np.take_along_axis(j, best, axis=1)
+        rows, cols = np.nonzero(val >= val.max(axis=1, keepdims=True) + math.log(share))
+        return rows, best[rows, cols].astype(np.int64)
+
     def log_density(self, z: np.ndarray) -> np.ndarray:
         j = self.log_joint(z)
         top = j.max(axis=1)
@@ -119,25 +135,25 @@ def sample(vectors: DataFrame, most: int = SAMPLE) -> np.ndarray:
     return unpack_directions(got.sort_values())
 
 
-def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, near: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect what links between rows of a and rows of b connect; at most one edge per node.
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, near: float, doubt: float = 0.0, block: int = 1024) -> pd.DataFrame:
+    """Edges (a, b, sure) that connect what links between rows of a and rows of b connect; at most one sure edge per node.
 
     ids: numbers of a's rows, then (unless same) of b's. Labels spread over the links block by block: linked rows take
-    the smallest label, and merged labels are united, so links are never listed.
+    the smallest label, and merged labels are united, so links are never listed. Cosines within doubt of the bound make no
+    link; of these the pairs that nothing else connects are given as edges that aren't sure.
     """
     n = len(ids)
     parent = np.arange(n)
     off = 0 if same else len(a)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    open_ = []
     for s in range(0, len(a), block):
-        rows, cols = np.nonzero(a[s : s + block] @ b.T >= near)
-        rows, cols = rows + s, cols + off
+        c = a[s : s + block] @ (b[s:] if same else b).T
+        left = off + (s if same else 0)
+        if doubt:
+            rows, cols = np.nonzero(np.abs(c - near) < doubt)
+            open_.append(np.stack([rows + s, cols + left]))
+        rows, cols = np.nonzero(c >= near + doubt)
+        rows, cols = rows + s, cols + left
         while len(rows):
             x, y = parent[rows], parent[cols]
             apart = x != y
@@ -155,92 +171,163 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, near: floa
                     break
                 parent = up
     node = np.nonzero(parent != np.arange(n))[0]
-    return ids[node], ids[parent[node]]
+    x, y = np.concatenate(open_, axis=1) if open_ else np.zeros((2, 0), dtype=np.int64)
+    apart = (parent[x] != parent[y]) & (ids[x] != ids[y])
+    x, y = x[apart], y[apart]
+    return pd.DataFrame({"a": np.concatenate([ids[node], ids[x]]), "b": np.concatenate([ids[parent[node]], ids[y]]), "sure": np.arange(len(node) + len(x)) < len(node)})
+
+
+def cell_model(u: np.ndarray, near: float, last: bool) -> tuple[Mixture | None, np.ndarray]:
+    """The mixture that divides a cell with this sample, or None and the sample's LEADERS rows whose links cover the most of it.
+
+    A cell isn't divided if the criterion prefers one component, if most of it would stay together, or at the last level.
+    """
+    if not last:
+        mixture = fit(u, choices=CELL_CHOICES)
+        if len(mixture.weights) > 1 and mixture.weights.max() < 0.9:
+            return mixture, np.zeros(0, dtype=np.int64)
+    links = u @ u.T >= near + DOUBT
+    label = np.arange(len(u))
+    while True:  # the smallest label of all that links connect
+        up = np.where(links, label[None, :], len(u)).min(axis=1)
+        if np.array_equal(up, label):
+            break
+        label = up
+    inside = np.nonzero(label == np.bincount(label).argmax())[0]
+    links = links[np.ix_(inside, inside)]
+    chosen: list[int] = []
+    left = np.ones(len(inside), dtype=bool)
+    while left.any() and len(chosen) < LEADERS:
+        i = int((links & left[None, :]).sum(axis=1).argmax())
+        chosen.append(i)
+        left &= ~links[i]
+    return None, inside[chosen]
 
 
-def linked(vectors: DataFrame, mixture: Mixture, near: float = NEAR, places: int = PLACES, share: float = SHARE, tile: int = TILE) -> DataFrame:
-    """(a, b): edges that connect the vectors of (n, q) whose cosine is at least near, found within the mixture's components.
+def linked(vectors: DataFrame, mixture: Mixture, near: float = NEAR, places: int = PLACES, share: float = SHARE, cell: int = CELL, depth: int = DEPTH) -> DataFrame:
+    """(a, b, sure): edges that connect the vectors of (n, q) whose cosine is at least near, found within the mixture's components.
 
-    A vector is placed with the components that have a part in it. Vectors of equal direction are placed once. A component
-    is one task; one of more than tile vectors is cut into tiles by a hash, and pairs of tiles are tasks.
+    Vectors of equal direction are placed once. A vector is placed with the components that have a part in it; these are
+    the cells of the first level. A cell with more than cell places (counted) is divided by a mixture fitted on a bounded
+    sample of its own, and so on, so the number of components follows the number of vectors and the work of a vector stays the
+    same; its rows are spread over tasks of at most CHUNK, each of which gets the cell's mixture. A cell of any size that
+    no mixture divides is one dense heap: vectors that are linked to one of its leaders are connected by that, and only the
+    others are compared with all of the cell, in pairs of tiles. Edges that aren't sure have a cosine within DOUBT of near.
     """
     spark = vectors.sparkSession
     model = spark.sparkContext.broadcast(mixture)
     keyed = vectors.select("n", "q", F.xxhash64("q").alias("h"))
-    first = keyed.groupBy("h").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")
-    first = cut(first)
-    copies = None
-    if not first.isEmpty():
-        j = keyed.join(first, "h", "left")
-        copies = j.where("first is not null and n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"))
-        keyed = j.where("first is null or n = first")
+    hot = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    edges: list[DataFrame] = []
+    if not hot.isEmpty():
+        hot = if_small(hot, 8)
+        some = keyed.join(hot, "h", "left_semi")
+        first = cut(some.groupBy("h", "q").agg(F.min("n").alias("first")))
+        edges.append(some.join(if_small(first, 160), ["h", "q"]).where("n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"), F.lit(True).alias("sure")))
+        keyed = keyed.join(hot, "h", "left_anti").select("n", "q").unionAll(first.select(F.col("first").alias("n"), "q"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
         for b in batches:
-            j = m.log_joint(m.features(unpack_directions(b["q"])).astype(np.float64))
-            k = min(places, j.shape[1])
-            best = np.argpartition(-j, k - 1, axis=1)[:, :k]
-            val = np.take_along_axis(j, best, axis=1)
-            keep = val >= val.max(axis=1, keepdims=True) + math.log(share)
-            rows, cols = np.nonzero(keep)
-            yield pd.DataFrame({"component": best[rows, cols].astype(np.int64), "n": b["n"].to_numpy()[rows], "q": b["q"].to_numpy()[rows]})
-
-    placed = keyed.select("n", "q").mapInPandas(place, "component long, n long, q binary")
-
-    def join_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf["side"].to_numpy()
-        ids, u = pdf["n"].to_numpy(), unpack_directions(pdf["q"])
-        if (sides == 0).all():
-            order = np.argsort(ids)
-            a, b = forest(ids[order], u[order], u[order], True, near)
-        else:
-            order = np.lexsort((ids, sides))
-            ids, u, sides = ids[order], u[order], sides[order]
-            a, b = forest(ids, u[sides == 0], u[sides == 1], False, near)
-        return pd.DataFrame({"a": a, "b": b})
-
-    # how many tiles each component needs, from the mixture's own weights: a bound on the driver's side without a pass
-    share_of = mixture.weights * places * 1.5
-    n = vectors.count()
-    tiles = {i: int(math.ceil(w * n / tile)) for i, w in enumerate(share_of)}
-    if max(tiles.values(), default=1) <= 1:
-        tasks = placed.withColumn("side", F.lit(0))
-        edges = tasks.groupBy("component").applyInPandas(join_tile, "a long, b long")
-    else:
-        t = F.element_at(F.create_map(*[F.lit(x) for p in tiles.items() for x in (int(p[0]), int(max(1, p[1])))]), F.col("component").cast("int"))
-        tasks = placed.withColumn("t", t).withColumn("own", F.pmod(F.xxhash64("n"), F.col("t")).cast("int"))
-        tasks = tasks.withColumn("other", F.explode(F.expr("sequence(0, t - 1)")))
-        tasks = tasks.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "n", "q")
-        edges = tasks.groupBy("component", "i", "j").applyInPandas(join_tile, "a long, b long")
-    return edges if copies is None else edges.unionAll(copies)
-
-
-def clusters(vectors: DataFrame, least: int = LEAST, near: float = NEAR, mixture: Mixture | None = None) -> DataFrame:
-    """(n, root): the vectors in groups of at least least members, root being the smallest number of the group.
-
-    A group is everything that links connect. Vectors that stand alone, or in smaller groups, are left out.
+            rows, cols = model.value.best(unpack_directions(b["q"]), places, share)
+            yield pd.DataFrame({"cell": cols, "n": b["n"].to_numpy()[rows], "q": b["q"].to_numpy()[rows]})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["role", "n"])
+        ids, u, role = pdf["n"].to_numpy(), unpack_directions(pdf["q"]), pdf["role"].to_numpy()
+        if (role == 2).all():
+            return forest(ids, u, u, True, near, DOUBT)
+        return forest(ids, u[role == 0], u[role == 1], False, near, DOUBT)
+
+    def part_model(last: bool):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("n")
+            u = unpack_directions(pdf["q"])
+            m, leaders = cell_model(u, near, last)
+            own = forest(pdf["n"].to_numpy(), u, u, True, near, DOUBT) if m is None else None
+            ties = [[], []] if own is None else [own.loc[own["sure"], c].tolist() for c in ("a", "b")]
+            return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "model": [pickle.dumps(m)], "leaders": [pdf["n"].to_numpy()[leaders].tolist()], "heads": [pdf["q"].iloc[leaders].tolist()], "a": [ties[0]], "b": [ties[1]]})
+
+        return run
+
+    def divide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"cell": left["cell"].iloc[:0], "n": left["n"].iloc[:0], "q": left["q"].iloc[:0], "lead": left["n"].iloc[:0], "heap": np.zeros(0, dtype=bool)})
+        m, u = pickle.loads(right["model"].iloc[0]), unpack_directions(left["q"])
+        if m is not None:
+            rows, cols = m.best(u, places, share)
+            return pd.DataFrame({"cell": left["cell"].iloc[0] * (2 * CELL_CHOICES[-1]) + cols + 1, "n": left["n"].to_numpy()[rows], "q": left["q"].to_numpy()[rows], "lead": -1, "heap": False})
+        lead = np.full(len(left), -1, dtype=np.int64)
+        heads = right["heads"].iloc[0]
+        if len(heads):
+            c = u @ unpack_directions(pd.Series(list(heads))).T
+            lead = np.where(c.max(axis=1) >= near + DOUBT, np.asarray(right["leaders"].iloc[0], dtype=np.int64)[c.argmax(axis=1)], -1)
+        return left[["cell", "n", "q"]].assign(lead=lead, heap=True)
+
+    placed = keyed.mapInPandas(place, "cell long, n long, q binary")
+    whole: list[DataFrame] = []  # (level, cell, i, j, role, n, q) of the comparisons
+    for level in range(depth + 1):
+        at = F.lit(level).alias("level")
+        one = ["cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"), "n", "q"]
+        counted = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")))
+        large = counted.where(F.col("c") > cell)
+        if large.isEmpty():
+            whole.append(placed.select(at, *one))
+            break
+        large = if_small(large, 16)
+        whole.append(placed.join(large, "cell", "left_anti").select(at, *one))
+        rows = placed.join(large, "cell")
+        some = rows.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(float(CELL_SAMPLE << 30)) / F.col("c")).select("cell", "n", "q")
+        models = cut(some.groupBy("cell").applyInPandas(part_model(level == depth), "cell long, model binary, leaders array<long>, heads array<binary>, a array<long>, b array<long>"))
+        tied = models.select(F.explode(F.arrays_zip("a", "b")).alias("x"))
+        edges.append(tied.select("x.a", "x.b", F.lit(True).alias("sure")))
+        parts = F.ceil(F.col("c") / CHUNK).cast("int")
+        spread = models.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model", "leaders", "heads")
+        rows = rows.select("cell", F.pmod(F.xxhash64("n", F.lit(17)), parts).cast("int").alias("part"), "n", "q")
+        cells = cut(rows.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(divide, "cell long, n long, q binary, lead long, heap boolean"))
+        heaps = cells.where("heap")
+        many = cut(heaps.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("tiles"), F.ceil(F.sum((F.col("lead") < 0).cast("int")) / cell).cast("int").alias("asking")))
+        if not many.isEmpty():
+            edges.append(heaps.where("lead >= 0 and lead <> n").select(F.col("n").alias("a"), F.col("lead").alias("b"), F.lit(True).alias("sure")))
+            heaps = heaps.join(if_small(many, 16), "cell").withColumn("own", F.xxhash64("n"))
+            asks = heaps.where("lead < 0").select(at, "cell", F.pmod("own", F.col("asking")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"), F.lit(0).alias("role"), "n", "q")
+            met = heaps.where("asking > 0").select(at, "cell", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.pmod("own", F.col("tiles")).cast("int").alias("j"), F.lit(1).alias("role"), "n", "q")
+            whole += [asks, met]
+        placed = cells.where("not heap").select("cell", "n", "q")
+    found = reduce(DataFrame.unionAll, whole).groupBy("level", "cell", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
+    return reduce(DataFrame.unionAll, edges, found)
+
+
+def clusters(vectors: DataFrame, memories: DataFrame, least: int = LEAST, near: float = NEAR, mixture: Mixture | None = None) -> DataFrame:
+    """(n, root): the vectors of (id, n, q) in groups of at least least members, root being the smallest number of the group.
+
+    A group is everything that links connect. Vectors that stand alone, or in smaller groups, are left out. Edges whose
+    cosine is next to near are decided by the stored values of memories.
     """
     if mixture is None:
         u = sample(vectors)
         if len(u) == 0:
             return vectors.select("n", F.col("n").alias("root")).limit(0)
         mixture = fit(u)
-    of = components(linked(vectors, mixture, near)).select(F.col("node").alias("n"), "root")
+    edges = cut(linked(vectors.select("n", "q"), mixture, near))
+    sure, open_ = edges.where("sure").select("a", "b"), edges.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not open_.isEmpty():
+        sure = sure.unionAll(exact_cosines(cut(open_), vectors, memories).where(F.col("cosine") >= near).select("a", "b"))
+    of = components(sure).select(F.col("node").alias("n"), "root")
     large = of.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     return of.join(large.select("root"), "root", "left_semi").select("n", "root")
 
 
 def found(memories: DataFrame) -> DataFrame:
     """(cluster_id, memory_id): members of groups of at least LEAST memories; cluster_id is the smallest id of the group."""
-    v = stored(memories, "clusters")
-    c = clusters(v.select("n", "q"))
-    return with_ids(c, v, "n", "root").select(F.col("root").alias("cluster_id"), F.col("n").alias("memory_id"))
+    v, path = stored(memories, "clusters")
+    out = cut(with_ids(clusters(v, memories), v, "n", "root").select(F.col("root").alias("cluster_id"), F.col("n").alias("memory_id")))
+    remove(memories.sparkSession, path)
+    return out
 
 
 def described(memories: DataFrame, typical: int = 3) -> DataFrame:
     """(cluster_id, size, rank, memory_id): each cluster's size and its most typical members, of highest density under the mixture."""
-    v = stored(memories, "clusters")
+    v, path = stored(memories, "clusters")
     u = sample(v.select("n", "q"))
     if len(u) == 0:
         return v.select(F.col("id").alias("cluster_id"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("rank"), F.col("id").alias("memory_id")).limit(0)
@@ -253,7 +340,7 @@ def described(memories: DataFrame, typical: int = 3) -> DataFrame:
             d = m.log_density(m.features(unpack_directions(b["q"])).astype(np.float64))
             yield pd.DataFrame({"n": b["n"], "root": b["root"], "density": np.round(d, 6)})
 
-    c = clusters(v.select("n", "q"), mixture=mixture)
+    c = clusters(v, memories, mixture=mixture)
     d = v.select("n", "q").join(c, "n").select("n", "root", "q").mapInPandas(density, "n long, root long, density double")
     size = c.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     # best members are chosen map-side first, so that a hot cluster isn't sorted in one task
@@ -261,5 +348,7 @@ def described(memories: DataFrame, typical: int = 3) -> DataFrame:
     order = [F.col("density").desc(), F.col("n")]
     top = part.withColumn("r", F.row_number().over(Window.partitionBy("root", "salt").orderBy(*order))).where(F.col("r") <= typical)
     top = top.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where(F.col("rank") <= typical)
-    out = top.select("n", "root", "rank").join(size, "root")
-    return with_ids(out, v, "n", "root").select(F.col("root").alias("cluster_id"), "size", "rank", F.col("n").alias("memory_id"))
+    out = cut(top.select("n", "root", "rank").join(size, "root"))
+    out = cut(with_ids(out, v, "n", "root").select(F.col("root").alias("cluster_id"), "size", "rank", F.col("n").alias("memory_id")))
+    remove(memories.sparkSession, path)
+    return out
