@@ -20,19 +20,20 @@ from engrava.session import cut
 SAMPLE, CELL_SAMPLE = 16_384, 2_048
 #: Features kept after standardising, as the leading principal components.
 REDUCED = 24
-#: Numbers of components that the information criterion chooses from, for the whole table and for a cell.
-CHOICES, CELL_CHOICES = (1, 4, 16, 64), (1, 4, 16)
+#: Numbers of components that the information criterion chooses from.
+CHOICES = (1, 4, 16, 64)
 #: Added to every variance.
 RIDGE = 0.02
 #: A vector is put with its best components: this many, and only those whose share is at least SHARE of the best's.
 PLACES, SHARE = 3, 1e-3
-#: A cell (what is put with a component) of more places than this is divided by a mixture of its own, up to DEPTH times; one that can't be is
-#: compared in pairs of tiles of this size.
-CELL, DEPTH = 2_048, 8
-#: Places of a large cell that one task puts with the cell's components.
-CHUNK = 50_000
-#: Vectors of a cell that no mixture divides, whose links are looked up first.
-LEADERS = 32
+#: The same in a divided cell.
+CELL_PLACES, CELL_SHARE = 2, 0.4
+#: A cell (what is put with a component) of more places than this is divided by a mixture of its own of at most CELL_PARTS components, up to DEPTH times.
+CELL, CELL_PARTS, DEPTH = 2_048, 64, 8
+#: Mixtures of cells up to this size are broadcast; more are sent to the rows of their cells, of which one task gets at most CHUNK.
+MODEL_BYTES, CHUNK = 64 << 20, 50_000
+#: Vectors of a cell's sample that are tried as leaders, and the part of the sample that one must be linked to.
+LEADERS, LED = 32, 0.25
 #: Smallest group.
 LEAST = 5
 
@@ -177,45 +178,53 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, near: floa
     return pd.DataFrame({"a": np.concatenate([ids[node], ids[x]]), "b": np.concatenate([ids[parent[node]], ids[y]]), "sure": np.arange(len(node) + len(x)) < len(node)})
 
 
-def cell_model(u: np.ndarray, near: float, last: bool) -> tuple[Mixture | None, np.ndarray]:
-    """The mixture that divides a cell with this sample, or None and the sample's LEADERS rows whose links cover the most of it.
-
-    A cell isn't divided if the criterion prefers one component, if most of it would stay together, or at the last level.
-    """
-    if not last:
-        mixture = fit(u, choices=CELL_CHOICES)
-        if len(mixture.weights) > 1 and mixture.weights.max() < 0.9:
-            return mixture, np.zeros(0, dtype=np.int64)
-    links = u @ u.T >= near + DOUBT
-    label = np.arange(len(u))
-    while True:  # the smallest label of all that links connect
-        up = np.where(links, label[None, :], len(u)).min(axis=1)
-        if np.array_equal(up, label):
-            break
-        label = up
-    inside = np.nonzero(label == np.bincount(label).argmax())[0]
-    links = links[np.ix_(inside, inside)]
-    chosen: list[int] = []
-    left = np.ones(len(inside), dtype=bool)
-    while left.any() and len(chosen) < LEADERS:
-        i = int((links & left[None, :]).sum(axis=1).argmax())
-        chosen.append(i)
-        left &= ~links[i]
-    return None, inside[chosen]
-
-
-def linked(vectors: DataFrame, mixture: Mixture, near: float = NEAR, places: int = PLACES, share: float = SHARE, cell: int = CELL, depth: int = DEPTH) -> DataFrame:
+class Cell:
+    """How a large cell is divided: a mixture, and leaders, which are vectors of the cell that are linked to one another and to much of it."""
+
+    def __init__(self, n: np.ndarray, u: np.ndarray, parts: int, near: float):
+        rng = np.random.default_rng(5)
+        mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-6
+        x = (u - mean) / scale
+        basis = np.linalg.svd(x.T @ x)[0][:, : min(REDUCED, x.shape[1])]
+        z = x @ basis
+        centres, variance = seeds(z, parts, rng), 1.0
+        for _ in range(10):
+            far = (z * z).sum(axis=1)[:, None] - 2 * z @ centres.T + (centres**2).sum(axis=1)
+            p = np.exp((far.min(axis=1, keepdims=True) - far) / (2 * variance))
+            p /= p.sum(axis=1, keepdims=True)
+            mass = p.sum(axis=0) + 1e-9
+            centres = (p.T @ z) / mass[:, None]
+            variance = float((p * far).sum() / z.size) + RIDGE * 1e-3
+        single = np.float32
+        self.mixture = Mixture(mean.astype(single), scale.astype(single), basis.astype(single), np.full(parts, 1 / parts, dtype=single), centres.astype(single), np.full((1, z.shape[1]), variance, dtype=single))
+        tried = rng.choice(len(u), min(LEADERS, len(u)), replace=False)
+        links = u @ u[tried].T >= near + DOUBT
+        first = int(links.sum(axis=0).argmax())
+        led = tried[links[tried, first] | (np.arange(len(tried)) == first)] if links[:, first].mean() >= LED else tried[:0]
+        self.leaders, self.heads = n[led], u[led].astype(single)
+        self.first = int(n[tried[first]])
+
+    def lead(self, n: np.ndarray, u: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): links between vectors and a leader each, and between the leaders."""
+        if not len(self.leaders):
+            return n[:0], n[:0]
+        c = u @ self.heads.T
+        is_linked = c.max(axis=1) >= near + DOUBT
+        return np.concatenate([n[is_linked], self.leaders]), np.concatenate([self.leaders[c[is_linked].argmax(axis=1)], np.full(len(self.leaders), self.first)])
+
+
+def linked(vectors: DataFrame, mixture: Mixture, near: float = NEAR, places: int = PLACES, share: float = SHARE, cell: int = CELL, depth: int = DEPTH, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """(a, b, sure): edges that connect the vectors of (n, q) whose cosine is at least near, found within the mixture's components.
 
     Vectors of equal direction are placed once. A vector is placed with the components that have a part in it; these are
-    the cells of the first level. A cell with more than cell places (counted) is divided by a mixture fitted on a bounded
-    sample of its own, and so on, so the number of components follows the number of vectors and the work of a vector stays the
-    same; its rows are spread over tasks of at most CHUNK, each of which gets the cell's mixture. A cell of any size that
-    no mixture divides is one dense heap: vectors that are linked to one of its leaders are connected by that, and only the
-    others are compared with all of the cell, in pairs of tiles. Edges that aren't sure have a cosine within DOUBT of near.
+    the cells of the first level. A cell with more than cell places (counted) is divided by a mixture of its own, with tied
+    variances and as many components as its size asks for, fitted on a bounded sample of it; and so on. So the number of components
+    follows the number of vectors, and a vector is compared with about as many others however many there are. What a
+    division cuts apart in a dense cell is held together by the cell's leaders, to which all vectors linked to them get an edge. Mixtures
+    are broadcast up to model_bytes; beyond that each level's rows are shuffled to their cell's mixture. A cell that is still
+    large after depth levels is compared in pairs of tiles. Edges that aren't sure have a cosine within DOUBT of near.
     """
     spark = vectors.sparkSession
-    model = spark.sparkContext.broadcast(mixture)
     keyed = vectors.select("n", "q", F.xxhash64("q").alias("h"))
     hot = cut(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     edges: list[DataFrame] = []
@@ -225,75 +234,108 @@ def linked(vectors: DataFrame, mixture: Mixture, near: float = NEAR, places: int
         first = cut(some.groupBy("h", "q").agg(F.min("n").alias("first")))
         edges.append(some.join(if_small(first, 160), ["h", "q"]).where("n <> first").select(F.col("n").alias("a"), F.col("first").alias("b"), F.lit(True).alias("sure")))
         keyed = keyed.join(hot, "h", "left_anti").select("n", "q").unionAll(first.select(F.col("first").alias("n"), "q"))
+    held: dict[int, Cell] = {}
+    models = spark.sparkContext.broadcast((mixture, held))
+
+    def child(at: int, part: np.ndarray) -> np.ndarray:
+        """Numbers of the cells of a divided cell; those of the first level are 1, 2 and so on."""
+        return at * (CELL_PARTS + len(mixture.weights)) + len(mixture.weights) + 1 + part
+
+    def route(n: np.ndarray, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """(cell, rows, None) where rows end, and (cell, rows, u) for the divided cells that they pass."""
+        top, cells = models.value
+        rows, cols = top.best(u, places, share)
+        todo = [(int(c) + 1, rows[cols == c]) for c in np.unique(cols)]
+        while todo:
+            at, rows = todo.pop()
+            if at not in cells:
+                yield at, rows, None
+                continue
+            yield at, rows, u[rows]
+            who, part = cells[at].mixture.best(u[rows], CELL_PLACES, CELL_SHARE)
+            todo += [(int(child(at, p)), rows[who[part == p]]) for p in np.unique(part)]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, cols = model.value.best(unpack_directions(b["q"]), places, share)
-            yield pd.DataFrame({"cell": cols, "n": b["n"].to_numpy()[rows], "q": b["q"].to_numpy()[rows]})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["role", "n"])
-        ids, u, role = pdf["n"].to_numpy(), unpack_directions(pdf["q"]), pdf["role"].to_numpy()
-        if (role == 2).all():
-            return forest(ids, u, u, True, near, DOUBT)
-        return forest(ids, u[role == 0], u[role == 1], False, near, DOUBT)
+            n, q = b["n"].to_numpy(), b["q"].to_numpy()
+            ends = [(at, rows) for at, rows, passed in route(n, unpack_directions(b["q"])) if passed is None]
+            rows = np.concatenate([r for _, r in ends])
+            yield pd.DataFrame({"cell": np.repeat([at for at, _ in ends], [len(r) for _, r in ends]), "n": n[rows], "q": q[rows]})
 
-    def part_model(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("n")
-            u = unpack_directions(pdf["q"])
-            m, leaders = cell_model(u, near, last)
-            own = forest(pdf["n"].to_numpy(), u, u, True, near, DOUBT) if m is None else None
-            ties = [[], []] if own is None else [own.loc[own["sure"], c].tolist() for c in ("a", "b")]
-            return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "model": [pickle.dumps(m)], "leaders": [pdf["n"].to_numpy()[leaders].tolist()], "heads": [pdf["q"].iloc[leaders].tolist()], "a": [ties[0]], "b": [ties[1]]})
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(at, len(rows)) for at, rows, passed in route(b["n"].to_numpy(), unpack_directions(b["q"])) if passed is None], columns=["cell", "c"])
 
-        return run
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b["n"].to_numpy()
+            for at, rows, passed in route(n, unpack_directions(b["q"])):
+                if passed is not None:
+                    x, y = models.value[1][at].lead(n[rows], passed, near)
+                    yield pd.DataFrame({"a": x, "b": y, "sure": True})
+
+    def fit_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        parts = min(CELL_PARTS, len(pdf), max(4, math.ceil(2 * pdf["c"].iloc[0] / cell)))
+        own = Cell(pdf["n"].to_numpy(), unpack_directions(pdf["q"]), parts, near)
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "model": [pickle.dumps(own)], "leads": [len(own.leaders) > 0]})
 
     def divide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"cell": left["cell"].iloc[:0], "n": left["n"].iloc[:0], "q": left["q"].iloc[:0], "lead": left["n"].iloc[:0], "heap": np.zeros(0, dtype=bool)})
-        m, u = pickle.loads(right["model"].iloc[0]), unpack_directions(left["q"])
-        if m is not None:
-            rows, cols = m.best(u, places, share)
-            return pd.DataFrame({"cell": left["cell"].iloc[0] * (2 * CELL_CHOICES[-1]) + cols + 1, "n": left["n"].to_numpy()[rows], "q": left["q"].to_numpy()[rows], "lead": -1, "heap": False})
-        lead = np.full(len(left), -1, dtype=np.int64)
-        heads = right["heads"].iloc[0]
-        if len(heads):
-            c = u @ unpack_directions(pd.Series(list(heads))).T
-            lead = np.where(c.max(axis=1) >= near + DOUBT, np.asarray(right["leaders"].iloc[0], dtype=np.int64)[c.argmax(axis=1)], -1)
-        return left[["cell", "n", "q"]].assign(lead=lead, heap=True)
-
-    placed = keyed.mapInPandas(place, "cell long, n long, q binary")
-    whole: list[DataFrame] = []  # (level, cell, i, j, role, n, q) of the comparisons
+            return pd.DataFrame({"cell": left["cell"].iloc[:0], "n": left["n"].iloc[:0], "q": left["q"].iloc[:0], "lead": left["n"].iloc[:0]})
+        own, u, n = pickle.loads(right["model"].iloc[0]), unpack_directions(left["q"]), left["n"].to_numpy()
+        who, part = own.mixture.best(u, CELL_PLACES, CELL_SHARE)
+        x, y = own.lead(n, u, near)
+        down = pd.DataFrame({"cell": child(int(left["cell"].iloc[0]), part), "n": n[who], "q": left["q"].to_numpy()[who], "lead": None})
+        return pd.concat([down, pd.DataFrame({"cell": -1, "n": x, "q": None, "lead": y})])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "n"])
+        ids, u, side = pdf["n"].to_numpy(), unpack_directions(pdf["q"]), pdf["side"].to_numpy()
+        if (side == 0).all():
+            return forest(ids, u, u, True, near, DOUBT)
+        return forest(ids, u[side == 0], u[side == 1], False, near, DOUBT)
+
+    columns = ["cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "n", "q"]
+    whole: list[DataFrame] = []  # (cell, i, j, side, n, q): what is compared
+    placed, moved, leads, size = keyed.mapInPandas(place, "cell long, n long, q binary"), False, False, 0
     for level in range(depth + 1):
-        at = F.lit(level).alias("level")
-        one = ["cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"), "n", "q"]
-        counted = cut(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")))
-        large = counted.where(F.col("c") > cell)
+        counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")) if moved else keyed.mapInPandas(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+        large = cut(counted.where(F.col("c") > cell))
         if large.isEmpty():
-            whole.append(placed.select(at, *one))
             break
         large = if_small(large, 16)
-        whole.append(placed.join(large, "cell", "left_anti").select(at, *one))
         rows = placed.join(large, "cell")
-        some = rows.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(float(CELL_SAMPLE << 30)) / F.col("c")).select("cell", "n", "q")
-        models = cut(some.groupBy("cell").applyInPandas(part_model(level == depth), "cell long, model binary, leaders array<long>, heads array<binary>, a array<long>, b array<long>"))
-        tied = models.select(F.explode(F.arrays_zip("a", "b")).alias("x"))
-        edges.append(tied.select("x.a", "x.b", F.lit(True).alias("sure")))
+        if level == depth:
+            whole.append(placed.join(large, "cell", "left_anti").select(*columns))
+            tiles = F.ceil(F.col("c") / cell).cast("int")
+            cross = rows.withColumn("own", F.pmod(F.xxhash64("n"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            whole.append(cross.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "n", "q"))
+            placed = None
+            break
+        some = rows.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(float(CELL_SAMPLE << 30)) / F.col("c"))
+        fitted = cut(some.groupBy("cell").applyInPandas(fit_cell, "cell long, model binary, leads boolean"))
+        new = fitted.agg(F.sum(F.length("model")).alias("bytes"), F.max("leads").alias("leads")).first()
+        size += new["bytes"]
+        if not moved and size <= model_bytes:
+            held = held | {r["cell"]: pickle.loads(r["model"]) for r in fitted.select("cell", "model").collect()}
+            models = spark.sparkContext.broadcast((mixture, held))
+            leads = leads or new["leads"]
+            placed = keyed.mapInPandas(place, "cell long, n long, q binary")
+            continue
+        moved = True
+        whole.append(placed.join(large, "cell", "left_anti").select(*columns))
         parts = F.ceil(F.col("c") / CHUNK).cast("int")
-        spread = models.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model", "leaders", "heads")
+        spread = fitted.join(large, "cell").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "model")
         rows = rows.select("cell", F.pmod(F.xxhash64("n", F.lit(17)), parts).cast("int").alias("part"), "n", "q")
-        cells = cut(rows.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(divide, "cell long, n long, q binary, lead long, heap boolean"))
-        heaps = cells.where("heap")
-        many = cut(heaps.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("tiles"), F.ceil(F.sum((F.col("lead") < 0).cast("int")) / cell).cast("int").alias("asking")))
-        if not many.isEmpty():
-            edges.append(heaps.where("lead >= 0 and lead <> n").select(F.col("n").alias("a"), F.col("lead").alias("b"), F.lit(True).alias("sure")))
-            heaps = heaps.join(if_small(many, 16), "cell").withColumn("own", F.xxhash64("n"))
-            asks = heaps.where("lead < 0").select(at, "cell", F.pmod("own", F.col("asking")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"), F.lit(0).alias("role"), "n", "q")
-            met = heaps.where("asking > 0").select(at, "cell", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.pmod("own", F.col("tiles")).cast("int").alias("j"), F.lit(1).alias("role"), "n", "q")
-            whole += [asks, met]
-        placed = cells.where("not heap").select("cell", "n", "q")
-    found = reduce(DataFrame.unionAll, whole).groupBy("level", "cell", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
+        cells = cut(rows.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(divide, "cell long, n long, q binary, lead long"))
+        edges.append(cells.where("lead is not null").select(F.col("n").alias("a"), F.col("lead").alias("b"), F.lit(True).alias("sure")))
+        placed = cells.where("lead is null").select("cell", "n", "q")
+    if placed is not None:
+        whole.append(placed.select(*columns))
+    if leads:
+        edges.append(keyed.mapInPandas(lead, "a long, b long, sure boolean"))
+    found = reduce(DataFrame.unionAll, whole).groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
     return reduce(DataFrame.unionAll, edges, found)
 
 
