@@ -3,124 +3,177 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrava.llm.common import MIN_CHARS, norm_text, remove, scratch
-from engrava.llm.neardup import RADIUS, WORDS, distance, signature_columns, similarity
+from engrava.llm.common import MIN_CHARS, minhash, norm_text, remove, scratch
+from engrava.llm.neardup import RADIUS, WORDS, carried, distance, similarity
 from engrava.session import cut
 
-#: Sort keys of a record, and hash symbols (8 bits each) in which neighbours of a window agree.
-KEYS, SYMBOLS = 12, 4
+#: Sort keys of a record. A key is the number of an order, then SYMBOLS leading and TRAILING further hash symbols of 8 bits.
+KEYS, SYMBOLS, TRAILING = 12, 4, 3
+#: Bits of a key behind its number, and behind its leading part.
+BITS, TAIL = 8 * (SYMBOLS + TRAILING), 8 * TRAILING
+#: A window holds so many neighbours to either side, and all that agree with the new record in the leading part of the key.
+SIDE = 3
 THRESHOLD = 0.70
-#: Key ranges: a range has about so many entries; more history has more ranges, and a batch reads the ranges it falls into.
-ENTRIES_A_RANGE = 250_000
-#: Later runs are merged into one when there are so many.
+#: Entries of a key range, and texts of a part: more history has more of them, and a batch reads those that its keys fall into.
+ENTRIES_A_RANGE, TEXTS_A_PART = 50_000, 20_000
+#: Later runs are merged into one when there are so many, and into the first when they have half of its texts.
 COMPACT = 4
-#: Rows of a batch's entries or candidates up to which they are broadcast (at most 64 bytes each); more are shuffled.
-BROADCAST_ROWS = 400_000
+#: New entries that are held in every task at a time; a batch of more is looked up in several passes.
+HELD = 400_000
+#: Rows of candidates up to which they are broadcast (at most 64 bytes each); more are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def sort_keys(symbols: np.ndarray) -> np.ndarray:
+    """A sort key per order: its number, the order's own symbols, and the first symbols of the next order."""
+    low = (symbols & np.uint32(0xFF)).astype(np.int64).reshape(len(symbols), KEYS, SYMBOLS)
+    line = np.concatenate([low, np.roll(low, -1, axis=1)[:, :, :TRAILING]], axis=2)
+    keys = np.broadcast_to(np.arange(KEYS, dtype=np.int64), (len(symbols), KEYS)).copy()
+    for i in range(SYMBOLS + TRAILING):
+        keys = (keys << 8) | line[:, :, i]
+    return keys
 
 
 def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for i in range(0, len(b), 4096):
             part = b.iloc[i : i + 4096]
-            c = signature_columns(part["t"].tolist(), KEYS, SYMBOLS)
-            yield part[["cid"]].assign(**c)
+            m = minhash(part["t"].tolist(), KEYS * SYMBOLS)
+            yield part[["cid"]].assign(keys=list(sort_keys(m)), **carried(m))
 
 
 SIGNED = "cid long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
 class SortedRuns:
-    """History: texts (part, cid, t, rec) and, per key, entries (range, k, cid, s0..) sorted by k within key ranges, as runs.
+    """History: texts (part, cid, t, rec) and entries (range, k, cid, s0..) sorted by k within key ranges, as runs.
 
-    A key is a number of KEYS different orders of the texts; the first SYMBOLS hash symbols of an order are a key's leading
-    part. A window is the whole run of entries around a new record that agree with its leading part: it is never cut
-    at a count, so crowded keys lose nothing; similar texts share the leading part of at least one of the keys but for a
-    small probability. A run is written once and never changed; the list of runs in force is replaced at the end of an
-    update, so an update that fails leaves the former state.
+    A key is one of KEYS different orders of the texts, kept as it is, so that neighbours in the order are alike. Ranges are
+    intervals of the keys of about ENTRIES_A_RANGE entries, of which a batch reads those that its keys fall into: for a
+    given batch what is read is bounded however long the history is. The window around a new record is SIDE neighbours to
+    either side and the whole stretch that agrees with the leading part of its key, which is never cut at a count. A
+    run is written once and never changed; the list of runs in force is replaced at the end of an update, so an
+    update that fails leaves the former state.
     """
 
-    def __init__(self, spark: SparkSession, ranges: int, parts: int):
-        self.spark, self.path, self.ranges, self.parts = spark, scratch(spark, "runs"), ranges, parts
-        self.runs: list[str] = []
-        self.texts: list[str] = []
-        self.sizes: list[int] = []
-        self.n = 0
-
-    def _entries(self, signed: DataFrame) -> DataFrame:
-        e = signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)])
-        # keys of KEYS orders spread over the ranges in equal shares: the range is the leading part of the key
-        e = e.withColumn("k", F.xxhash64("k"))
-        return e.withColumn("range", F.expr(f"cast(pmod(shiftrightunsigned(k, 20), {self.ranges}) as int)"))
-
-    def _tasks(self, rows: int) -> int:
-        """Tasks that write a run: one for about ENTRIES_A_RANGE entries, so that tasks don't grow with the history."""
-        return max(2, min(self.ranges, -(-rows * KEYS // ENTRIES_A_RANGE)))
+    def __init__(self, spark: SparkSession, a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART):
+        self.spark, self.path, self.a_range, self.a_part = spark, scratch(spark, "runs"), a_range, a_part
+        self.runs: list[tuple[str, int, int, int]] = []  # path, texts, bits of a range within an order, parts
+        self.n = self.read = 0
 
     def add(self, texts: DataFrame, signed: DataFrame, rows: int) -> None:
         """A new run of these texts (cid, t, rec), about so many rows, and their signatures (cid, keys, s0..)."""
-        self.sizes.append(rows)
+        self._write(texts, signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)]), rows)
+        later = self.runs[1:]
+        if 2 * sum(r[1] for r in later) >= self.runs[0][1] and later:
+            self._merge(list(self.runs))
+        elif len(later) >= COMPACT:
+            self._merge(later)
+
+    def _write(self, texts: DataFrame, entries: DataFrame, rows: int) -> None:
         self.n += 1
         to = f"{self.path}/{self.n}"
-        entries = self._entries(signed)
-        entries.repartition(self._tasks(rows), "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
-        part = F.pmod(F.col("cid"), F.lit(self.parts)).cast("int")
-        texts.withColumn("part", part).select("part", "cid", "t", "rec").write.option("compression", "zstd").parquet(f"{to}/texts")
-        self.runs.append(f"{to}/entries")
-        self.texts.append(f"{to}/texts")
-        if len(self.runs) > COMPACT:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merge all runs but the first into one; the first is the large one and stays."""
-        self.n += 1
-        to, old = f"{self.path}/{self.n}", self.runs[1:] + self.texts[1:]
-        self._read(self.runs[1:], "entries").repartition(self._tasks(sum(self.sizes[1:])), "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
-        self._read(self.texts[1:], "texts").write.option("compression", "zstd").parquet(f"{to}/texts")
-        self.sizes = [self.sizes[0], sum(self.sizes[1:])]
-        self.runs, self.texts = [self.runs[0], f"{to}/entries"], [self.texts[0], f"{to}/texts"]
-        for p in old:
-            remove(self.spark, p)
-
-    def _read(self, paths: list[str], kind: str) -> DataFrame:
-        s = "`k` long, cid long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", `range` int" if kind == "entries" else "part int, cid long, t string, rec string"
-        read = self.spark.read.schema(s)
-        out = None
-        for p in paths:
-            df = read.parquet(p)
-            out = df if out is None else out.unionByName(df)
-        return out
+        bits, parts = max(0, (rows // self.a_range).bit_length()), max(1, rows // self.a_part)
+        entries = entries.withColumn("range", F.shiftright("k", BITS - bits).cast("int"))
+        tasks = max(1, min(KEYS << bits, -(-rows * KEYS // self.a_range)))
+        entries.repartition(tasks, "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
+        texts = texts.withColumn("part", F.pmod(F.col("cid"), F.lit(parts)).cast("int")).select("part", "cid", "t", "rec")
+        texts.repartition(parts, "part").write.partitionBy("part").option("compression", "zstd").parquet(f"{to}/texts")
+        self.runs.append((to, rows, bits, parts))
+
+    def _merge(self, old: list[tuple[str, int, int, int]]) -> None:
+        """Write these runs, the last ones, as one, with ranges and parts for what it holds now."""
+        names = ["cid", "k", *[f"s{i}" for i in range(WORDS)]]
+        texts = reduce(DataFrame.unionByName, [self._table(r, "texts").select("cid", "t", "rec") for r in old])
+        entries = reduce(DataFrame.unionByName, [self._table(r, "entries").select(*names) for r in old])
+        self._write(texts, entries, sum(r[1] for r in old))
+        self.runs = self.runs[: len(self.runs) - 1 - len(old)] + self.runs[-1:]
+        for r in old:
+            remove(self.spark, r[0])
+
+    def _table(self, run: tuple[str, int, int, int], kind: str) -> DataFrame:
+        s = "cid long, k long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", `range` int" if kind == "entries" else "cid long, t string, rec string, part int"
+        return self.spark.read.schema(s).parquet(f"{run[0]}/{kind}")
 
     def windows(self, signed: DataFrame, rows: int) -> DataFrame:
         """(cid, other): history texts in the windows around these texts whose signatures are near enough."""
-        new = self._entries(signed)
-        wanted = [r["range"] for r in new.select("range").distinct().collect()]  # at most as many as there are ranges
-        history = self._read(self.runs, "entries").where(F.col("range").isin(wanted)) if len(wanted) < self.ranges else self._read(self.runs, "entries")
-        new = new.drop("range")
-        if rows * KEYS <= BROADCAST_ROWS:
-            new = F.broadcast(new)
-        j = history.alias("a").join(new.alias("b"), (F.col("a.k") == F.col("b.k")) & (distance("a", "b") <= RADIUS))
-        return j.select(F.col("b.cid").alias("cid"), F.col("a.cid").alias("other")).distinct()
+        new = signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)])
+        passes = -(-rows * KEYS // HELD)
+        out = None
+        for i in range(passes):
+            held = new.where(F.pmod(F.xxhash64("cid"), F.lit(passes)) == i).toPandas().sort_values("k")
+            k, cid, sig = held["k"].to_numpy(), held["cid"].to_numpy(), held[[f"s{w}" for w in range(WORDS)]].to_numpy()
+            shared = self.spark.sparkContext.broadcast((k, cid, sig))
+            for run in self.runs:
+                wanted = np.unique(k >> (BITS - run[2])).tolist()
+                entries = self._table(run, "entries")
+                if len(wanted) < KEYS << run[2]:
+                    entries = entries.where(F.col("range").isin(wanted))
+                part = entries.select("k", "cid", *[f"s{w}" for w in range(WORDS)]).mapInPandas(around(shared), "cid long, other long")
+                out = part if out is None else out.unionAll(part)
+        return out.distinct()
 
     def matches(self, texts: DataFrame, signed: DataFrame, rows: int, threshold: float) -> DataFrame:
         """(cid, rec, similarity) of history records with at least the threshold."""
         near = cut(self.windows(signed, rows))
         few = near.count() <= BROADCAST_ROWS
-        asked = near.withColumn("part", F.pmod(F.col("other"), F.lit(self.parts)).cast("int"))
-        history = self._read(self.texts, "texts").select(F.col("part"), F.col("cid").alias("other"), F.col("t").alias("ta"), "rec")
-        j = history.join(F.broadcast(asked) if few else asked, ["part", "other"])
-        j = j.join(texts.select("cid", F.col("t").alias("tb")), "cid")
+        out = None
+        for run in self.runs:
+            asked = near.withColumn("part", F.pmod(F.col("other"), F.lit(run[3])).cast("int"))
+            history = self._table(run, "texts")
+            wanted = [r["part"] for r in asked.select("part").distinct().collect()] if run[3] > 1 else []  # at most as many as there are parts
+            if wanted and len(wanted) < run[3]:
+                history = history.where(F.col("part").isin(wanted))
+            j = history.select("part", F.col("cid").alias("other"), F.col("t").alias("ta"), "rec").join(F.broadcast(asked) if few else asked, ["part", "other"])
+            out = j if out is None else out.unionByName(j)
+        j = out.join(texts.select("cid", F.col("t").alias("tb")), "cid")
         return j.select("cid", "rec", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
 
     def close(self) -> None:
         remove(self.spark, self.path)
 
 
-def history_of(records: DataFrame, key: str = "id", text: str = "text", version: str = "updated_at") -> SortedRuns:
+def around(shared):
+    """For sorted stretches of history entries: those in the windows of the held new entries with a near signature."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = list(batches)  # at most what a task reads of the files, which is bounded by the session's size of a split
+        if not have:
+            return
+        h = pd.concat(have).sort_values("k")
+        hk, hc, hs = h["k"].to_numpy(), h["cid"].to_numpy(), h[[f"s{w}" for w in range(WORDS)]].to_numpy()
+        k, cid, sig = shared.value
+        begin, end = np.searchsorted(k, hk[0] >> TAIL << TAIL), np.searchsorted(k, hk[-1] | ((1 << TAIL) - 1), side="right")
+        for i in range(begin, end, 1 << 14):
+            part = slice(i, min(i + (1 << 14), end))
+            at = np.searchsorted(hk, k[part])
+            lo = np.minimum(np.searchsorted(hk, k[part] >> TAIL << TAIL), np.maximum(at - SIDE, 0))
+            hi = np.maximum(np.searchsorted(hk, k[part] | ((1 << TAIL) - 1), side="right"), np.minimum(at + SIDE, len(hk)))
+            size = hi - lo
+            for s in range(0, len(size), 1024):
+                m = size[s : s + 1024]
+                for first in range(0, int(m.max(initial=0)), 4096):  # a crowded window is read piece by piece
+                    n = np.clip(m - first, 0, 4096)
+                    new = np.repeat(np.arange(i + s, i + s + len(m)), n)
+                    old = np.repeat(lo[s : s + 1024] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    x = sig[new] ^ hs[old]
+                    x |= (x >> 1) & 0x7777777777777777
+                    x |= (x >> 2) & 0x3333333333333333
+                    near = np.bitwise_count(x & 0x1111111111111111).sum(axis=1) <= RADIUS
+                    if near.any():
+                        yield pd.DataFrame({"cid": cid[new[near]], "other": hc[old[near]]}).drop_duplicates()
+
+    return run
+
+
+def history_of(records: DataFrame, key: str = "id", text: str = "text", version: str = "updated_at", a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART) -> SortedRuns:
     """The runs of all accepted records so far: one entry per different text, under the smallest id that has it."""
     spark = records.sparkSession
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec"), F.col(version).alias("version"), norm_text(text).alias("t"))
@@ -133,7 +186,7 @@ def history_of(records: DataFrame, key: str = "id", text: str = "text", version:
     texts.write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
     n = texts.count()
-    runs = SortedRuns(spark, max(8, n * KEYS // ENTRIES_A_RANGE), max(8, n // 100_000))
+    runs = SortedRuns(spark, a_range, a_part)
     runs.add(texts, texts.select("cid", "t").mapInPandas(sign, SIGNED), n)
     remove(spark, path)
     return runs
@@ -141,7 +194,7 @@ def history_of(records: DataFrame, key: str = "id", text: str = "text", version:
 
 def within(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(cid, other, similarity): pairs of different texts of one batch, both ways."""
-    e = signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)])
+    e = signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)]).withColumn("k", F.shiftright("k", TAIL))
     near = e.alias("a").join(e.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.cid") < F.col("b.cid")) & (distance("a", "b") <= RADIUS))
     near = near.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other")).distinct()
     j = near.join(texts.select("cid", F.col("t").alias("ta")), "cid").join(texts.select(F.col("cid").alias("other"), F.col("t").alias("tb")), "other")
@@ -149,7 +202,7 @@ def within(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return one.unionAll(one.select(F.col("other").alias("cid"), F.col("cid").alias("other"), "similarity"))
 
 
-def batch(runs: SortedRuns, items: DataFrame, threshold: float = THRESHOLD, most_rounds: int = 200) -> DataFrame:
+def batch(runs: SortedRuns, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Compare a batch (item_id, text) in the order of item_id, accept what isn't a duplicate, and give (item_id, matched_id) of the rest.
 
     The state of runs afterwards holds the accepted items. The first item of each different text can be accepted; which
@@ -172,17 +225,13 @@ def batch(runs: SortedRuns, items: DataFrame, threshold: float = THRESHOLD, most
     state = cut(open_.select("first").join(edges.select(F.col("b").alias("first")).distinct(), "first", "left_semi"))  # undecided
     taken = None  # decided to be duplicates
     live = edges
-    for _ in range(most_rounds):
-        if state.isEmpty():
-            break
+    while not state.isEmpty():  # a round decides at least the first that is undecided
         # earlier items that aren't undecided (nor duplicates) are accepted
         hit = live.join(state.select(F.col("first").alias("a")), "a", "left_anti").select(F.col("b").alias("first")).distinct()
         dup = cut(hit.join(state, "first", "left_semi"))
         taken = dup if taken is None else taken.unionAll(dup)
         live = cut(live.join(dup.select(F.col("first").alias("b")), "b", "left_anti").join(dup.select(F.col("first").alias("a")), "a", "left_anti"))
         state = cut(state.join(dup, "first", "left_anti").join(live.select(F.col("b").alias("first")).distinct(), "first", "left_semi"))
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     accepted = open_ if taken is None else open_.join(taken, "first", "left_anti")
     accepted = cut(accepted)
     # every item's accepted records: of history, of the batch's accepted first items before it, and its own text's first item

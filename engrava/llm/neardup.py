@@ -41,13 +41,17 @@ def chunk_keys(symbols: np.ndarray, width: int = WIDTH) -> np.ndarray:
 def signature_columns(texts: list[str], chunks: int = CHUNKS, width: int = WIDTH, seed: int = 11) -> dict:
     """keys: those of the chunks; s0..: the carried symbols, 4 bits each."""
     m = minhash(texts, chunks * width, seed)
-    keys = chunk_keys(m, width)
+    return {"keys": list(chunk_keys(m, width)), **carried(m)}
+
+
+def carried(m: np.ndarray) -> dict:
+    """s0..: the carried symbols of minimum hashes, 4 bits each."""
     nibbles = ((m[:, :CARRIED] >> np.uint32(8)) & np.uint32(0xF)).astype(np.uint8)
     if nibbles.shape[1] < CARRIED:
         nibbles = np.pad(nibbles, ((0, 0), (0, CARRIED - nibbles.shape[1])))
     packed = (nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)).astype(np.uint8)
     words = np.ascontiguousarray(packed).view(np.int64)
-    return {"keys": list(keys), **{f"s{i}": words[:, i] for i in range(WORDS)}}
+    return {f"s{i}": words[:, i] for i in range(WORDS)}
 
 
 def distance(a: str, b: str):

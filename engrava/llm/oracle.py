@@ -44,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": P3,
         "p4_found": P4.format(columns="entity_a, entity_b", where="WHERE n_ab >= 6 AND n_ab * t.n >= 4 * ea.n * eb.n"),
         "p4_pairs": P4.format(columns=P4_PAIRS, where=""),
+        "p4_updated": P4.format(columns=P4_PAIRS, where=""),
         "p8_found": P8,
     }

@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.table_of(load(spark, sf_dir, "entity_mentions")).scores().drop("npmi")
+    return pairs.all_scores(load(spark, sf_dir, "entity_mentions")).drop("npmi")
 
 
 def p4_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
