@@ -8,7 +8,7 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 CTE = {
-    "m": "m AS (SELECT *, epoch_us(created_at) / 1e6 AS created, epoch_us(updated_at) / 1e6 AS updated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM memories WHERE id IS NOT NULL) WHERE rn = 1)",
+    "m": "m AS (SELECT * REPLACE (coalesce(importance, CAST(0.5 AS DOUBLE)) AS importance), epoch_us(created_at) / 1e6 AS created, epoch_us(updated_at) / 1e6 AS updated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM memories WHERE id IS NOT NULL) WHERE rn = 1)",
     "s": "s AS (SELECT memory_id, count(*) AS recall_count, count(*) FILTER (weight >= 0.75) AS positive, count(*) FILTER (weight < 0.25) AS negative, max(epoch_us(created_at) / 1e6) AS last_recalled FROM entity_mentions WHERE memory_id IS NOT NULL GROUP BY 1)",
     "ms": "ms AS (SELECT m.*, coalesce(recall_count, 0) AS recall_count, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, last_recalled FROM m LEFT JOIN s ON m.id = s.memory_id)",
     "t": "t AS (SELECT *, epoch_us(created_at) / 1e6 AS created FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY ingested_at DESC) AS rn FROM turns WHERE turn_id IS NOT NULL) WHERE rn = 1)",

@@ -26,12 +26,17 @@ def get_spark(app: str = "engrava", cpus: int | None = None, shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and there is one machine only (tests)."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         have = sc._jsc.sc().getCheckpointDir()
-        configured = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="engrava-ckpt-")
+        if have.isDefined():
+            configured = have.get()
+        elif sc.master.startswith("local[") or sc.master == "local":
+            configured = tempfile.mkdtemp(prefix="engrava-ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)
     return configured

@@ -24,7 +24,8 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest(load(spark, sf_dir, "memories"), "id", "updated_at")
+    """The latest version of each memory; a missing importance is .5, the store's default."""
+    df = latest(load(spark, sf_dir, "memories"), "id", "updated_at").withColumn("importance", F.coalesce("importance", F.lit(0.5)))
     return df.withColumn("created", epoch("created_at")).withColumn("updated", epoch("updated_at"))
 
 
