@@ -65,8 +65,8 @@ class SortedRuns:
 
     def __init__(self, spark: SparkSession, a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART):
         self.spark, self.path, self.a_range, self.a_part = spark, scratch(spark, "runs"), a_range, a_part
-        self.runs: list[tuple[str, int, int, int]] = []  # path, texts, bits of a range within an order, parts
-        self.n = self.read = 0
+        self.runs: list[tuple[int, int, int, int]] = []  # number, texts, bits of a range within an order, parts
+        self.n = 0
 
     def add(self, texts: DataFrame, signed: DataFrame, rows: int) -> None:
         """A new run of these texts (cid, t, rec), about so many rows, and their signatures (cid, keys, s0..)."""
@@ -79,28 +79,30 @@ class SortedRuns:
 
     def _write(self, texts: DataFrame, entries: DataFrame, rows: int) -> None:
         self.n += 1
-        to = f"{self.path}/{self.n}"
         bits, parts = max(0, (rows // self.a_range).bit_length()), max(1, rows // self.a_part)
         entries = entries.withColumn("range", F.shiftright("k", BITS - bits).cast("int"))
         tasks = max(1, min(KEYS << bits, -(-rows * KEYS // self.a_range)))
-        entries.repartition(tasks, "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{to}/entries")
+        entries.repartition(tasks, "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{self.path}/entries/run={self.n}")
         texts = texts.withColumn("part", F.pmod(F.col("cid"), F.lit(parts)).cast("int")).select("part", "cid", "t", "rec")
-        texts.repartition(parts, "part").write.partitionBy("part").option("compression", "zstd").parquet(f"{to}/texts")
-        self.runs.append((to, rows, bits, parts))
+        texts.repartition(parts, "part").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/texts/run={self.n}")
+        self.runs.append((self.n, rows, bits, parts))
 
-    def _merge(self, old: list[tuple[str, int, int, int]]) -> None:
+    def _merge(self, old: list[tuple[int, int, int, int]]) -> None:
         """Write these runs, the last ones, as one, with ranges and parts for what it holds now."""
-        names = ["cid", "k", *[f"s{i}" for i in range(WORDS)]]
-        texts = reduce(DataFrame.unionByName, [self._table(r, "texts").select("cid", "t", "rec") for r in old])
-        entries = reduce(DataFrame.unionByName, [self._table(r, "entries").select(*names) for r in old])
+        texts, entries = self._table(old, "texts").select("cid", "t", "rec"), self._table(old, "entries").select("cid", "k", *[f"s{i}" for i in range(WORDS)])
         self._write(texts, entries, sum(r[1] for r in old))
         self.runs = self.runs[: len(self.runs) - 1 - len(old)] + self.runs[-1:]
         for r in old:
-            remove(self.spark, r[0])
+            for kind in ("texts", "entries"):
+                remove(self.spark, f"{self.path}/{kind}/run={r[0]}")
 
-    def _table(self, run: tuple[str, int, int, int], kind: str) -> DataFrame:
-        s = "cid long, k long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", `range` int" if kind == "entries" else "cid long, t string, rec string, part int"
-        return self.spark.read.schema(s).parquet(f"{run[0]}/{kind}")
+    def _table(self, runs: list[tuple[int, int, int, int]], kind: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
+        """The rows of these runs in one scan; of the ranges or parts that are wanted of each, if given."""
+        s = "cid long, k long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", run int, `range` int" if kind == "entries" else "cid long, t string, rec string, run int, part int"
+        df = self.spark.read.schema(s).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/run={r[0]}" for r in runs])
+        if wanted is None:
+            return df
+        return df.where(reduce(lambda a, b: a | b, [(F.col("run") == n) & F.col("range" if kind == "entries" else "part").isin(w) for n, w in wanted.items()]))
 
     def windows(self, signed: DataFrame, rows: int) -> DataFrame:
         """(cid, other): history texts in the windows around these texts whose signatures are near enough."""
@@ -111,29 +113,22 @@ class SortedRuns:
             held = new.where(F.pmod(F.xxhash64("cid"), F.lit(passes)) == i).toPandas().sort_values("k")
             k, cid, sig = held["k"].to_numpy(), held["cid"].to_numpy(), held[[f"s{w}" for w in range(WORDS)]].to_numpy()
             shared = self.spark.sparkContext.broadcast((k, cid, sig))
-            for run in self.runs:
-                wanted = np.unique(k >> (BITS - run[2])).tolist()
-                entries = self._table(run, "entries")
-                if len(wanted) < KEYS << run[2]:
-                    entries = entries.where(F.col("range").isin(wanted))
-                part = entries.select("k", "cid", *[f"s{w}" for w in range(WORDS)]).mapInPandas(around(shared), "cid long, other long")
-                out = part if out is None else out.unionAll(part)
+            entries = self._table(self.runs, "entries", {r[0]: np.unique(k >> (BITS - r[2])).tolist() for r in self.runs})
+            part = entries.select("k", "cid", *[f"s{w}" for w in range(WORDS)]).mapInPandas(around(shared), "cid long, other long")
+            out = part if out is None else out.unionAll(part)
         return out.distinct()
 
     def matches(self, texts: DataFrame, signed: DataFrame, rows: int, threshold: float) -> DataFrame:
         """(cid, rec, similarity) of history records with at least the threshold."""
         near = cut(self.windows(signed, rows))
         few = near.count() <= BROADCAST_ROWS
-        out = None
-        for run in self.runs:
-            asked = near.withColumn("part", F.pmod(F.col("other"), F.lit(run[3])).cast("int"))
-            history = self._table(run, "texts")
-            wanted = [r["part"] for r in asked.select("part").distinct().collect()] if run[3] > 1 else []  # at most as many as there are parts
-            if wanted and len(wanted) < run[3]:
-                history = history.where(F.col("part").isin(wanted))
-            j = history.select("part", F.col("cid").alias("other"), F.col("t").alias("ta"), "rec").join(F.broadcast(asked) if few else asked, ["part", "other"])
-            out = j if out is None else out.unionByName(j)
-        j = out.join(texts.select("cid", F.col("t").alias("tb")), "cid")
+        # parts of each run that hold a candidate: at most as many as there are parts
+        at = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("run"), F.pmod("other", F.lit(r[3])).cast("int").alias("part")) for r in self.runs])).alias("x")
+        wanted: dict[int, list[int]] = {r[0]: [0] for r in self.runs}
+        for row in near.select(at).select("x.run", "x.part").distinct().collect():
+            wanted[row["run"]].append(row["part"])
+        history = self._table(self.runs, "texts", wanted).select(F.col("cid").alias("other"), F.col("t").alias("ta"), "rec")
+        j = history.join(F.broadcast(near) if few else near, "other").join(texts.select("cid", F.col("t").alias("tb")), "cid")
         return j.select("cid", "rec", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
 
     def close(self) -> None:

@@ -327,9 +327,9 @@ def test_a_batch_reads_a_bounded_part_of_any_history(spark):
         b = common.cut(spark.createDataFrame(new, "item_id long, t string"))
         signed = b.select(F.col("item_id").alias("cid"), "t").mapInPandas(incremental.sign, incremental.SIGNED)
         keys = {int(k) for row in signed.select("keys").collect() for k in row["keys"]}
-        path, _, bits, _ = runs.runs[0]
+        number, _, bits, _ = runs.runs[0]
         wanted = {k >> (incremental.BITS - bits) for k in keys}
-        read[n] = spark.read.parquet(f"{path}/entries").where(F.col("range").isin(sorted(wanted))).count()
+        read[n] = spark.read.parquet(f"{runs.path}/entries/run={number}").where(F.col("range").isin(sorted(wanted))).count()
         assert [x["matched_id"] for x in incremental.batch(runs, b).collect()] == ["z"]
         runs.close()
     assert max(read.values()) <= 3 * incremental.KEYS * 256 * 1.5 and read[4000] < 12 * 4000 / 3
