@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ TREES = 4
 FIRST_BITS, LATER = 7, 27
 #: A prefix that more than LEAF vectors share is lengthened; a vector ascends until it shares its prefix with at least LEAF / 2.
 LEAF = 2048
+#: So often a vector takes the least label among those of its neighbours; vectors with the same label are compared.
+SPREAD = 3
 #: Cosines of 16-bit directions are off by less than this; what lies nearer to a bound is decided by the stored values.
 DOUBT = 1e-4
 #: Rows of a block of queries that is compared with its leaf at a time.
@@ -101,7 +104,7 @@ def pack_directions(u: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.rint(u * 32767).astype("<i2")]
 
 
-def unpack_directions(b: pd.Series) -> np.ndarray:
+def unpack_directions(b: pd.Series | list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(b), dtype="<i2").reshape(len(b), -1).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -121,9 +124,7 @@ def strings(u: np.ndarray, rot: np.ndarray) -> np.ndarray:
         p = u @ two
         x, y = p[:, 0 : 2 * LATER : 2], p[:, 1 : 2 * LATER : 2]
         symbols = np.where(np.abs(x) >= np.abs(y), x < 0, 2 + (y < 0)).astype(np.int64)
-        for d in range(LATER):
-            s = (s << 2) | symbols[:, d]
-        out[:, t] = s
+        out[:, t] = (s << 2 * LATER) | symbols @ (np.int64(1) << 2 * np.arange(LATER - 1, -1, -1))
     return out
 
 
@@ -180,9 +181,9 @@ def leaves(codes: DataFrame, leaf: int = LEAF) -> list[DataFrame]:
 
 
 def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float, asking: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple]:
-    """For rows of a leaf, or the asking (ids, vectors): (row, neighbours' rows, cosines) of up to k others of the leaf with at least near, best first, ties by id.
+    """For rows of a leaf, or the asking (ids, vectors): (row, neighbours' rows, cosines, links) of up to k others of the leaf with at least near, best first, ties by id.
 
-    ids must be sorted, so that the row number stands for the order of ids.
+    links holds, for every row listed, the first of all others with at least near. ids must be sorted, so that the row number stands for the order of ids.
     """
     who, x = (ids, u) if asking is None else asking
     own = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
@@ -192,23 +193,95 @@ def top_neighbours(ids: np.ndarray, u: np.ndarray, k: int, near: float, asking:
         self = np.nonzero(ids[at] == who[s : s + BLOCK])[0]
         c[self, at[self]] = -2.0
         rows, cols = np.nonzero(c >= near)
-        vals = c[rows, cols]
-        order = np.lexsort((cols, -np.round(vals, 6), rows))
-        rows, cols, vals = rows[order], cols[order], vals[order]
+        links = cols[np.nonzero(np.diff(rows, prepend=-1))[0]]
+        # row, descending cosine and column in one number
+        key = np.sort((rows << 45) | (np.int64(1_000_100) - np.rint(c[rows, cols] * 1e6).astype(np.int64)) << 24 | cols)
+        rows, cols = key >> 45, key & 0xFFFFFF
         start = np.searchsorted(rows, np.arange(len(c)))
-        rank = np.arange(len(rows)) - start[rows]
-        keep = rank < k
-        yield rows[keep] + s, cols[keep], vals[keep]
+        keep = np.arange(len(rows)) - start[rows] < k
+        rows, cols = rows[keep], cols[keep]
+        yield rows + s, cols, c[rows, cols], links
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, trees: int = TREES, leaf: int = LEAF, seed: int = 5, spare: int = 0) -> DataFrame:
+LISTS = "n long, label long, others array<long>, cosines array<float>"
+
+
+def merged(lists: DataFrame, most: int) -> DataFrame:
+    """LISTS, one row a vector: of all its lists the most best others, ties by number, and the least of its labels."""
+
+    def best(n: np.ndarray, label: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((-cosine, other, n))
+        n, label, other, cosine = n[order], label[order], other[order], cosine[order]
+        begin = np.nonzero(np.diff(n, prepend=n[0] - 1))[0]
+        least = np.minimum.reduceat(label, begin)
+        once = np.nonzero((np.diff(n, prepend=n[0] - 1) != 0) | (np.diff(other, prepend=other[0] - 1) != 0))[0]
+        once = once[np.lexsort((other[once], -np.round(cosine[once].astype(np.float64), 6), n[once]))]
+        n, other, cosine = n[once], other[once], cosine[once]
+        ids, begin, count = np.unique(n, return_index=True, return_counts=True)
+        keep = np.arange(len(n)) - np.repeat(begin, count) < most
+        ends = np.concatenate([[0], np.cumsum(np.minimum(count, most))]).astype(np.int32)
+        columns = [pa.array(ids), pa.array(least), pa.ListArray.from_arrays(ends, other[keep]), pa.ListArray.from_arrays(ends, cosine[keep])]
+        return pa.RecordBatch.from_arrays(columns, names=["n", "label", "others", "cosines"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            size = b["others"].value_lengths().to_numpy()
+            part = [np.repeat(b["n"].to_numpy(), size), np.repeat(b["label"].to_numpy(), size), b["others"].flatten().to_numpy(), b["cosines"].flatten().to_numpy()]
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
+            whole = np.searchsorted(held[0], held[0][-1])  # the last vector may go on in the next batch
+            if whole:
+                yield best(*[x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield best(*held)
+
+    return lists.repartition("n").sortWithinPartitions("n").mapInArrow(run, LISTS)
+
+
+def in_tiles(places: DataFrame) -> DataFrame:
+    """(leaf, i, j, role, n, q): where the places (n, q, leaf, tiles) are compared: in their leaf, or in pairs of its tiles.
+
+    A place asks in all tiles of its leaf and is met in its own; with a single tile that is one row.
+    """
+    own = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int")).otherwise(F.lit(0))
+    both = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("role")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role")))
+    return places.withColumn("own", own).withColumn("x", F.explode(F.when(F.col("tiles") > 1, F.concat(asks, meets)).otherwise(F.array(both)))).select("leaf", "x.i", "x.j", "x.role", "n", "q")
+
+
+def spread(lists: DataFrame, rounds: int) -> DataFrame:
+    """(n, label): labels of LISTS after so many rounds, in each of which a vector takes the least label of its own and its listed neighbours."""
+    labels = lists.select("n", "label")
+    for _ in range(rounds):
+        of = if_small(labels.select(F.col("n").alias("other"), F.col("label").alias("theirs")), 16)
+        seen = lists.select("n", F.explode("others").alias("other")).join(of, "other").select("n", F.col("theirs").alias("label"))
+        labels = cut(labels.unionAll(seen).groupBy("n").agg(F.min("label").alias("label")))
+    return labels
+
+
+def by_label(labels: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(n, leaf, tiles): leaves of about half of leaf vectors that hold whole labels; a label of more than twice leaf is a leaf of several tiles."""
+    bins = max(1, 2 * labels.count() // leaf)
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    crowded = if_small(cut(sizes.where(F.col("c") > 2 * leaf).select("label", F.ceil(F.col("c") / leaf).cast("int").alias("tiles"))), 16)
+    at = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(-1 - F.col("label"))
+    return labels.join(crowded, "label", "left").select("n", at.alias("leaf"), F.coalesce("tiles", F.lit(1)).alias("tiles"))
+
+
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, trees: int = TREES, leaf: int = LEAF, seed: int = 5, spare: int = 0, rounds: int = SPREAD) -> DataFrame:
     """(n, other, cosine): for every vector of (n, q) its up to k + spare most similar others with at least near; ties by n.
 
     A forest of trees, each an array sorted by long hash strings and cut into leaves (see leaves): a vector's candidates are,
     in every tree, those that share its longest prefix which enough others share. All vectors are indexed and all are
-    queries; the forest is approximate, its recall is measured against brute force. A leaf has at most 2 * leaf vectors, so
-    work and shuffle are in proportion to the number of vectors, but for strings that are equal to their end: these are
-    compared in pairs of tiles. Vectors with equal directions are entered under their k + 1 smallest numbers only: no other
+    queries. As vectors grow, prefixes get longer and a pair is separated in more trees, but what is linked stays linked
+    through others: a leaf gives a vector the least number it is linked with as its label, labels spread along the
+    neighbours found, and vectors with the same label are compared too. The search is approximate, its recall is measured
+    against brute force. A leaf has at most 2 * leaf vectors, so work and shuffle are in proportion to the number of
+    vectors, but for strings that are equal to their end and labels of more vectors: these are compared in pairs of tiles. Vectors with equal directions are entered under their k + 1 smallest numbers only: no other
     copy can be among anyone's k, and the others' neighbours are the k smallest. No vectors, no rows.
     """
     spark = vectors.sparkSession
@@ -243,36 +316,28 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, near: float = NEAR, tree
     for d, table in enumerate(leaves(spark.read.parquet(path), leaf), start=1):
         t = if_small(table.select("p", F.col("leaf").alias("at"), F.col("tiles").alias("in")), 24)
         places = places.join(t, prefix(F.col("s"), d) == F.col("p"), "left").select("n", "q", "s", F.coalesce("leaf", "at").alias("leaf"), F.coalesce("tiles", "in").alias("tiles"))
-    own = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int")).otherwise(F.lit(0))
-    # a place asks in all tiles of its leaf and is met in its own; with a single tile that is one row
-    both = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("role"))
-    asks = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("role")))
-    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("role")))
-    placed = places.withColumn("own", own).withColumn("x", F.explode(F.when(F.col("tiles") > 1, F.concat(asks, meets)).otherwise(F.array(both)))).select("leaf", "x.i", "x.j", "x.role", "n", "q")
-    empty = pd.DataFrame({"n": pd.Series(dtype="int64"), "others": pd.Series(dtype=object), "cosines": pd.Series(dtype=object)})
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        role = pdf["role"].to_numpy()
-        ids, u = pdf["n"].to_numpy(), unpack_directions(pdf["q"])
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("n")
+        role, ids = t["role"].to_numpy(), t["n"].to_numpy()
+        u = unpack_directions(t["q"].to_pylist())
         asking = None if (role == 2).all() else (ids[role != 1], u[role != 1])
         ids, u = ids[role != 0], u[role != 0]
-        if not len(ids):
-            return empty
         who = ids if asking is None else asking[0]
-        mine, others, cosines = [], [], []
-        for r, c, v in top_neighbours(ids, u, most, near - DOUBT, asking):
-            begin = np.nonzero(np.diff(r, prepend=-1))[0]
-            mine.append(who[r[begin]])
-            others += np.split(ids[c], begin[1:]) if len(begin) else []
-            cosines += np.split(v.astype(np.float32), begin[1:]) if len(begin) else []
-        return pd.DataFrame({"n": np.concatenate(mine), "others": pd.Series(others, dtype=object), "cosines": pd.Series(cosines, dtype=object)}) if mine else empty
-
-    partial = placed.groupBy("leaf", "i", "j").applyInPandas(search, "n long, others array<long>, cosines array<float>")
-    one = partial.repartition("n").select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
-    best = one.groupBy("n", "other").agg(F.max("cosine").alias("cosine"))
-    rank = Window.partitionBy("n").orderBy(F.col("cosine").desc(), "other")
-    best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= most).select("n", "other", "cosine")
+        found = [(who[r], ids[c], v.astype(np.float32), ids[links]) for r, c, v, links in top_neighbours(ids, u, most, near - DOUBT, asking)] if len(ids) else []
+        mine, others, cosines, label = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=x) for x in ("i8", "i8", "f4", "i8")]
+        begin = np.nonzero(np.diff(mine, prepend=-1))[0]
+        ends = np.append(begin, len(mine)).astype(np.int32)
+        columns = [pa.array(mine[begin]), pa.array(np.minimum(mine[begin], label)), pa.ListArray.from_arrays(ends, others), pa.ListArray.from_arrays(ends, cosines)]
+        return pa.Table.from_arrays(columns, names=["n", "label", "others", "cosines"])
+
+    def searched(places: DataFrame) -> DataFrame:
+        return in_tiles(places).groupBy("leaf", "i", "j").applyInArrow(search, LISTS)
+
+    lists = cut(merged(searched(places), most))
+    if rounds:
+        again = kept.join(if_small(cut(by_label(spread(lists, rounds), leaf)), 24), "n")
+        lists = merged(searched(again).unionAll(lists), most)
+    best = lists.select("n", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("n", F.col("x.others").alias("other"), F.round(F.col("x.cosines").cast("double"), 6).alias("cosine"))
     return best if copied is None else best.unionAll(copied)
 
 

@@ -193,6 +193,17 @@ def test_recall_with_small_leaves(spark):
     assert recall() >= 0.999 and recall(leaf=150, trees=8) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_length_of_prefixes(spark):
+    vecs = cloud(seed=9, groups=60, size=20, alone=600)  # leaves of 12 to 24 of 1,800: as far divided as a much larger table
+    ids, c = brute(vecs)
+    np.fill_diagonal(c, -2)
+    want = {(a, b) for a in range(len(ids)) for b in sorted(np.nonzero(c[a] >= 0.8)[0], key=lambda j: (-c[a, j], j))[:5]}
+    v = vectors.quantised(memories(spark, [(i, 0, x) for i, x in vecs.items()])).cache()
+    at = {r["n"]: ids.index(r["id"]) for r in v.collect()}
+    rows = [(at[r["n"]], at[r["other"]]) for r in vectors.neighbours(v.select("n", "q"), leaf=12).collect()]
+    assert len(rows) == len(set(rows)) and len(set(rows) & want) >= 0.95 * len(want)
+
+
 def test_strings_equal_to_their_end_make_tiles(spark):
     rng = np.random.default_rng(3)
     c = rng.standard_normal(64)
