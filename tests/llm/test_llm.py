@@ -295,6 +295,30 @@ def test_signatures_within_the_guaranteed_distance_meet():
         assert not set(neardup.chunk_keys(a)[0][:1]) & set(neardup.chunk_keys(a)[0][1:])
 
 
+def test_chunks_with_one_error_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        a = rng.integers(0, 1 << 16, size=(1, neardup.CHUNKS * neardup.WIDTH), dtype=np.uint32)
+        b = a.copy()  # an error in every chunk, two in all but one
+        for chunk in range(neardup.CHUNKS):
+            b[0, chunk * neardup.WIDTH + rng.choice(neardup.WIDTH, size=2 if chunk else 1, replace=False)] ^= np.uint32(1)
+        assert (neardup.chunk_keys(a) == neardup.chunk_keys(b)).sum() == 1
+
+
+def test_pairs_next_to_the_threshold_are_found(spark):
+    r = random.Random(12)
+    rows = []
+    while len(rows) < 1600:  # pairs with similarities of 0.70 to 0.72
+        t = sentence(r, 24).split()
+        u = [r.choice(WORDS) + str(r.randint(0, 99)) if i % 6 == 0 else w for i, w in enumerate(t)]
+        t, u = " ".join(t), " ".join(u)
+        if 0.7 <= common.jaccard(common.grams(t), common.grams(u)) <= 0.72:
+            rows += [(f"a{len(rows):04d}", t), (f"b{len(rows):04d}", u)]
+    d = spark.createDataFrame([("t", i, T0, t) for i, t in rows], "tbl string, id string, version timestamp, text string")
+    found = {(x["id_a"][1:], x["id_b"][1:]) for x in neardup.links([d]).collect()}
+    assert len({p for p in found if p[0] == p[1]}) >= 799  # 788 of 800 when chunks must agree as a whole
+
+
 def test_batches_follow_the_order_of_arrival(spark):
     rows = [(i, t) for i, t in copies(seed=7) if t]
     r = random.Random(8)
