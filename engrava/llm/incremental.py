@@ -168,15 +168,23 @@ def around(shared):
     return run
 
 
-def history_of(records: DataFrame, key: str = "id", text: str = "text", version: str = "updated_at", a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART) -> SortedRuns:
-    """The runs of all accepted records so far: one entry per different text, under the smallest id that has it."""
-    spark = records.sparkSession
+def different(records: DataFrame, key: str = "id", text: str = "text", version: str = "updated_at") -> DataFrame:
+    """(cid, t, rec): the different texts of the records, each with the smallest id that has it in its latest version.
+
+    Texts are grouped by their key, as the ids are, so that they are shuffled once; different texts of one key stay apart.
+    """
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec"), F.col(version).alias("version"), norm_text(text).alias("t"))
     rows = rows.withColumn("cid", F.when(F.length("t") >= MIN_CHARS, F.xxhash64("t")))
     last = rows.groupBy("rec").agg(F.max(F.struct("version", "cid")).alias("m")).select("rec", F.col("m.cid").alias("cid")).where("cid is not null")
     least = last.groupBy("cid").agg(F.min("rec").alias("rec"))
-    texts = rows.where("cid is not null").groupBy("cid", "t").agg(F.lit(1).alias("one")).select("cid", "t")
-    texts = texts.join(least, "cid")
+    texts = rows.where("cid is not null").groupBy("cid").agg(F.collect_set("t").alias("texts"))
+    return texts.join(least, "cid").select("cid", F.explode("texts").alias("t"), "rec")
+
+
+def history_of(records: DataFrame, key: str = "id", text: str = "text", version: str = "updated_at", a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART) -> SortedRuns:
+    """The runs of all accepted records so far: one entry per different text, under the smallest id that has it."""
+    spark = records.sparkSession
+    texts = different(records, key, text, version)
     path = scratch(spark, "history")
     texts.write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)

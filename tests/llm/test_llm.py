@@ -371,6 +371,20 @@ def test_a_batch_reads_a_bounded_part_of_any_history(spark):
     assert max(read.values()) <= 3 * incremental.KEYS * 256 * 1.5 and read[4000] < 12 * 4000 / 3
 
 
+def test_texts_of_history_are_shuffled_once(spark):
+    rows = [("a", T0, "one " * 20), ("b", T0, "one " * 20), ("c", T0, "two " * 20), ("c", T0 + timedelta(1), "six " * 20), ("d", T0, None), (None, T0, "ten " * 20)]
+    m = spark.createDataFrame(rows, "id string, updated_at timestamp, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = incremental.different(m)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["t"][:3], r["rec"]) for r in d.collect()) == [("one", "a"), ("six", "c")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3  # records by id, their keys, and texts by their keys
+
+
 def test_runs_are_merged(spark):
     r = random.Random(4)
     texts = [sentence(r) for _ in range(120)]
