@@ -319,6 +319,70 @@ def test_pairs_next_to_the_threshold_are_found(spark):
     assert len({p for p in found if p[0] == p[1]}) >= 799  # 788 of 800 when chunks must agree as a whole
 
 
+def test_halves_that_meet_are_the_chunks_with_one_error():
+    """Against all pairs: each is given once for each chunk with one error at most, if it is within RADIUS and of one table."""
+    r = random.Random(14)
+    texts = [t for i, t in copies(seed=14) if t and len(t) > 40 and not i.startswith(("s", "l"))]
+    texts = list(dict.fromkeys(texts + [edited(r, edited(r, t)) for t in texts]))
+    m = common.minhash(texts, neardup.CARRIED)
+    carry = list(neardup.carried(m).values())
+    tables = np.arange(len(texts)) % 5 // 4
+    h = neardup.halves(m[:, : neardup.CHUNKS * neardup.WIDTH], tables)
+    assert h.shape == (len(texts), 2 * neardup.CHUNKS) and (h >= 0).all()
+    keys = neardup.chunk_keys(m[:, : neardup.CHUNKS * neardup.WIDTH] & np.uint32((1 << neardup.BITS) - 1)).reshape(len(texts), neardup.CHUNKS, neardup.WIDTH)
+    nibbles = (m[:, : neardup.CARRIED] >> np.uint32(8)) & np.uint32(0xF)
+    want = {}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        n = int((keys[a] == keys[b]).any(axis=1).sum())
+        if n and tables[a] == tables[b] and (nibbles[a] != nibbles[b]).sum() <= neardup.RADIUS:
+            want[a, b] = n
+    rows, order = np.repeat(np.arange(len(texts)), h.shape[1]), np.argsort(h.ravel())
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array(x[order]) for x in (h.ravel(), rows, *(c[rows] for c in carry))], names=["h", "cid", "s0", "s1", "s2"])
+    for size, held in ((len(batch), neardup.ROWS), (37, 50)):  # at once, and in batches that divide halves
+        before, neardup.ROWS = neardup.ROWS, held
+        try:
+            out = list(neardup.candidates(iter([batch.slice(i, size) for i in range(0, len(batch), size)] + [batch.slice(0, 0)])))
+        finally:
+            neardup.ROWS = before
+        found = [p for x in out for p in zip(x["cid_a"].to_pylist(), x["cid_b"].to_pylist())]
+        assert {p: found.count(p) for p in set(found)} == want and len(want) > 100
+
+
+def test_near_copies_in_different_tables_are_no_pairs(spark):
+    r = random.Random(16)
+    rows = []
+    for i in range(40):
+        t = sentence(r)
+        rows += [("d", f"a{i:02d}", t), ("d", f"b{i:02d}", edited(r, t)), ("f", f"c{i:02d}", t), ("f", f"e{i:02d}", edited(r, t))]
+    s = {(tbl, i): sets(t) for tbl, i, t in rows}
+    want = {(a[0], a[1], b[1]) for a, b in itertools.combinations(sorted(s), 2) if a[0] == b[0] and common.jaccard(s[a], s[b]) >= 0.7}
+    frames = [spark.createDataFrame([(tbl, i, T0, t) for tbl, i, t in rows if tbl == name], "tbl string, id string, version timestamp, text string") for name in "df"]
+    assert neardup.zlib.crc32(b"d") & 3 == neardup.zlib.crc32(b"f") & 3  # their halves meet
+    found = [(x["tbl"], x["id_a"], x["id_b"]) for x in neardup.links(frames).collect()]
+    assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.97 * len(want) > 10
+
+
+def test_near_copies_shuffle_few_bytes_a_text(spark):
+    r = random.Random(15)
+    rows = [(f"a{i:04d}", sentence(r)) for i in range(2000)]
+    d = spark.createDataFrame([("t", i, T0, t) for i, t in rows], "tbl string, id string, version timestamp, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    set_ = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # so many that rows of a text are not next to each other
+    before = {k: spark.conf.get(k) for k in set_}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
+    try:
+        bus.waitUntilEmpty()
+        written = store.executorSummary("driver").totalShuffleWrite()
+        neardup.links([d]).count()
+        bus.waitUntilEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (store.executorSummary("driver").totalShuffleWrite() - written) / len(rows) < 1100  # 1,625 when each text had 40 rows of keys, 992 now
+
+
 def test_batches_follow_the_order_of_arrival(spark):
     rows = [(i, t) for i, t in copies(seed=7) if t]
     r = random.Random(8)
