@@ -7,10 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrava.llm.common import MIN_CHARS, minhash, norm_text, remove, scratch
+from engrava.llm.common import MIN_CHARS, free, minhash, norm_text, remove, rows_of, scratch
 from engrava.llm.neardup import RADIUS, WORDS, carried, distance, similarity
 from engrava.session import cut
 
@@ -27,8 +27,10 @@ ENTRIES_A_RANGE, TEXTS_A_PART = 50_000, 20_000
 COMPACT = 4
 #: New entries that are held in every task at a time; a batch of more is looked up in several passes.
 HELD = 400_000
-#: Rows of candidates up to which they are broadcast (at most 64 bytes each); more are shuffled.
+#: Rows of candidates or of a batch's ids up to which they are broadcast (at most 64 bytes each); more are shuffled.
 BROADCAST_ROWS = 100_000
+#: Links within a batch up to which one task decides them (16 bytes each); of more, rounds decide some first.
+ONE_TASK = 400_000
 
 
 def sort_keys(symbols: np.ndarray) -> np.ndarray:
@@ -60,13 +62,15 @@ class SortedRuns:
     given batch what is read is bounded however long the history is. The window around a new record is SIDE neighbours to
     either side and the whole stretch that agrees with the leading part of its key, which is never cut at a count. A
     run is written once and never changed; the list of runs in force is replaced at the end of an update, so an
-    update that fails leaves the former state.
+    update that fails leaves the former state. The folders of the first run, the longest by far, are listed once for
+    as long as it is in force: a listing of many is a job that fills the driver's memory.
     """
 
     def __init__(self, spark: SparkSession, a_range: int = ENTRIES_A_RANGE, a_part: int = TEXTS_A_PART):
         self.spark, self.path, self.a_range, self.a_part = spark, scratch(spark, "runs"), a_range, a_part
         self.runs: list[tuple[int, int, int, int]] = []  # number, texts, bits of a range within an order, parts
         self.n = 0
+        self.listed: dict[str, tuple[int, DataFrame]] = {}  # of the first run, by kind: its number and its files
 
     def add(self, texts: DataFrame, signed: DataFrame, rows: int) -> None:
         """A new run of these texts (cid, t, rec), about so many rows, and their signatures (cid, keys, s0..)."""
@@ -83,6 +87,8 @@ class SortedRuns:
         entries = entries.withColumn("range", F.shiftright("k", BITS - bits).cast("int"))
         tasks = max(1, min(KEYS << bits, -(-rows * KEYS // self.a_range)))
         entries.repartition(tasks, "range").sortWithinPartitions("range", "k").write.partitionBy("range").option("compression", "zstd").parquet(f"{self.path}/entries/run={self.n}")
+        if rows >= self.a_range:
+            free(self.spark)  # the shuffle of a run's entries is as large as the run
         texts = texts.withColumn("part", F.pmod(F.col("cid"), F.lit(parts)).cast("int")).select("part", "cid", "t", "rec")
         texts.repartition(parts, "part").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/texts/run={self.n}")
         self.runs.append((self.n, rows, bits, parts))
@@ -96,13 +102,23 @@ class SortedRuns:
             for kind in ("texts", "entries"):
                 remove(self.spark, f"{self.path}/{kind}/run={r[0]}")
 
-    def _table(self, runs: list[tuple[int, int, int, int]], kind: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
-        """The rows of these runs in one scan; of the ranges or parts that are wanted of each, if given."""
+    def _files(self, runs: list[tuple[int, int, int, int]], kind: str) -> DataFrame:
         s = "cid long, k long, " + ", ".join(f"s{i} long" for i in range(WORDS)) + ", run int, `range` int" if kind == "entries" else "cid long, t string, rec string, run int, part int"
-        df = self.spark.read.schema(s).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/run={r[0]}" for r in runs])
-        if wanted is None:
-            return df
-        return df.where(reduce(lambda a, b: a | b, [(F.col("run") == n) & F.col("range" if kind == "entries" else "part").isin(w) for n, w in wanted.items()]))
+        return self.spark.read.schema(s).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/run={r[0]}" for r in runs])
+
+    def _table(self, runs: list[tuple[int, int, int, int]], kind: str, wanted: dict[int, list[int]] | None = None) -> DataFrame:
+        """The rows of these runs in a scan of the first run and one of all others; of the ranges or parts that are wanted of each, if given."""
+        scans, later = [], [r for r in runs if r[0] != self.runs[0][0]]
+        if len(later) < len(runs):
+            if self.listed.get(kind, (0,))[0] != self.runs[0][0]:
+                self.listed[kind] = self.runs[0][0], self._files(self.runs[:1], kind)
+            scans.append((runs[:1], self.listed[kind][1]))
+        if later:
+            scans.append((later, self._files(later, kind)))
+        if wanted is not None:
+            column = F.col("range" if kind == "entries" else "part")
+            scans = [(of, df.where(reduce(lambda a, b: a | b, [(F.col("run") == r[0]) & column.isin(wanted[r[0]]) for r in of]))) for of, df in scans]
+        return reduce(DataFrame.unionAll, [df for _, df in scans])
 
     def windows(self, signed: DataFrame, rows: int) -> DataFrame:
         """(cid, other): history texts in the windows around these texts whose signatures are near enough."""
@@ -114,22 +130,26 @@ class SortedRuns:
             k, cid, sig = held["k"].to_numpy(), held["cid"].to_numpy(), held[[f"s{w}" for w in range(WORDS)]].to_numpy()
             shared = self.spark.sparkContext.broadcast((k, cid, sig))
             entries = self._table(self.runs, "entries", {r[0]: np.unique(k >> (BITS - r[2])).tolist() for r in self.runs})
-            part = entries.select("k", "cid", *[f"s{w}" for w in range(WORDS)]).mapInPandas(around(shared), "cid long, other long")
+            part = cut(entries.select("k", "cid", *[f"s{w}" for w in range(WORDS)]).mapInPandas(around(shared), "cid long, other long").distinct())
+            shared.destroy()
             out = part if out is None else out.unionAll(part)
-        return out.distinct()
+        return out
 
     def matches(self, texts: DataFrame, signed: DataFrame, rows: int, threshold: float) -> DataFrame:
-        """(cid, rec, similarity) of history records with at least the threshold."""
-        near = cut(self.windows(signed, rows))
-        few = near.count() <= BROADCAST_ROWS
+        """(cid, rec, similarity) of the most similar history record (the smallest of equal ones) with at least the threshold."""
+        near = self.windows(signed, rows)
         # parts of each run that hold a candidate: at most as many as there are parts
         at = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("run"), F.pmod("other", F.lit(r[3])).cast("int").alias("part")) for r in self.runs])).alias("x")
         wanted: dict[int, list[int]] = {r[0]: [0] for r in self.runs}
-        for row in near.select(at).select("x.run", "x.part").distinct().collect():
+        pairs = 0
+        for row in near.select(at).groupBy("x.run", "x.part").agg(F.count(F.lit(1)).alias("n")).collect():
             wanted[row["run"]].append(row["part"])
+            pairs += row["n"]  # of every run, so it counts each candidate once a run
+        few = pairs <= BROADCAST_ROWS * len(self.runs)
         history = self._table(self.runs, "texts", wanted).select(F.col("cid").alias("other"), F.col("t").alias("ta"), "rec")
         j = history.join(F.broadcast(near) if few else near, "other").join(texts.select("cid", F.col("t").alias("tb")), "cid")
-        return j.select("cid", "rec", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+        j = j.select("cid", "rec", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+        return j.groupBy("cid").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "rec")).alias("m")).select("cid", F.col("m.rec").alias("rec"), (-F.col("m.less")).alias("similarity"))
 
     def close(self) -> None:
         remove(self.spark, self.path)
@@ -189,64 +209,84 @@ def history_of(records: DataFrame, key: str = "id", text: str = "text", version:
     texts.write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
     n = texts.count()
+    if n >= a_range:
+        free(spark)
     runs = SortedRuns(spark, a_range, a_part)
     runs.add(texts, texts.select("cid", "t").mapInPandas(sign, SIGNED), n)
     remove(spark, path)
     return runs
 
 
-def within(signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(cid, other, similarity): pairs of different texts of one batch, both ways."""
+def within(signed: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(cid, other, a, b, open, similarity): pairs of different texts of one batch, once, with their first items; open: none of both is in history."""
     e = signed.select("cid", F.explode("keys").alias("k"), *[f"s{i}" for i in range(WORDS)]).withColumn("k", F.shiftright("k", TAIL))
     near = e.alias("a").join(e.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.cid") < F.col("b.cid")) & (distance("a", "b") <= RADIUS))
     near = near.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other")).distinct()
-    j = near.join(texts.select("cid", F.col("t").alias("ta")), "cid").join(texts.select(F.col("cid").alias("other"), F.col("t").alias("tb")), "other")
-    one = cut(j.select("cid", "other", similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold))
-    return one.unionAll(one.select(F.col("other").alias("cid"), F.col("cid").alias("other"), "similarity"))
+    side = lambda cid, x: known.select(F.col("cid").alias(cid), F.col("first").alias(x), F.col("t").alias(f"t{x}"), F.col("rec").isNull().alias(f"open{x}"))
+    j = near.join(side("cid", "a"), "cid").join(side("other", "b"), "other")
+    return cut(j.select("cid", "other", "a", "b", (F.col("opena") & F.col("openb")).alias("open"), similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold))
+
+
+def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links (a, b), a before b, in one task: the items that are linked to an earlier accepted one."""
+    have = list(batches)
+    if not have:
+        return
+    links, dup = pd.concat(have).sort_values("b"), set()
+    for a, b in zip(links["a"].tolist(), links["b"].tolist()):  # all links to a come before those from it
+        if a not in dup:
+            dup.add(b)
+    yield pd.DataFrame({"first": sorted(dup)})
+
+
+def duplicates(links: DataFrame) -> DataFrame | None:
+    """(first): of the links (a, b), a before b, those items that an earlier accepted one is linked to; None if there are no links.
+
+    While there are too many links for one task, a round decides those to items without a link to an earlier one, which are
+    accepted; it leaves at least no link of the least item.
+    """
+    live, taken = links, []
+    while (n := rows_of(live)) > ONE_TASK:
+        dup = cut(live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("b").alias("first")).distinct())
+        taken.append(dup)
+        live = cut(live.join(dup.select(F.col("first").alias("b")), "b", "left_anti").join(dup.select(F.col("first").alias("a")), "a", "left_anti").select("a", "b"))
+    if n:
+        taken.append(live.repartition(1).mapInPandas(decided, "first long"))
+    return reduce(DataFrame.unionAll, taken) if taken else None
 
 
 def batch(runs: SortedRuns, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Compare a batch (item_id, text) in the order of item_id, accept what isn't a duplicate, and give (item_id, matched_id) of the rest.
 
     The state of runs afterwards holds the accepted items. The first item of each different text can be accepted; which
-    first items are follows from the links between them by rounds: an item is a duplicate once an earlier accepted item
-    is linked to it, and accepted once every earlier linked item is a duplicate.
+    first items are follows from the links between them: an item is a duplicate once an earlier accepted item is linked
+    to it, and accepted once every earlier linked item is a duplicate.
+
+    A small batch costs plans and their exchanges, each of which is a thread of the driver for a minute, rather than data: so
+    texts carry what is known of them, and ids that are few by their count are broadcast, not left to be shuffled first.
     """
-    rows = cut(items.where(F.length("t") >= MIN_CHARS).select("item_id", "t", F.xxhash64("t").alias("cid")))
-    texts = rows.groupBy("cid").agg(F.min(F.struct("item_id", "t")).alias("m")).select("cid", F.col("m.item_id").alias("first"), F.col("m.t").alias("t"))
-    texts = cut(texts)
-    n = texts.count()
+    rows = items.where(F.length("t") >= MIN_CHARS).select("item_id", "t", F.xxhash64("t").alias("cid"))
+    texts = cut(rows.groupBy("cid").agg(F.min(F.struct("item_id", "t")).alias("m")).select("cid", F.col("m.item_id").alias("first"), F.col("m.t").alias("t")))
+    n = rows_of(texts)
     if n == 0:
         return rows.select("item_id", F.lit("").alias("matched_id")).limit(0)
+    ids = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
     signed = cut(texts.select("cid", "t").mapInPandas(sign, SIGNED))
-    old = cut(runs.matches(texts, signed, n, threshold))
-    links = within(signed, texts, threshold)
-    # first items with no match in history and their links to earlier ones of their kind
-    open_ = texts.join(old.select("cid").distinct(), "cid", "left_anti").select("cid", "first")
-    edges = links.select("cid", "other").join(open_, "cid").join(open_.select(F.col("cid").alias("other"), F.col("first").alias("before")), "other").where("before < first").select(F.col("before").alias("a"), F.col("first").alias("b"))
-    edges = cut(edges)
-    state = cut(open_.select("first").join(edges.select(F.col("b").alias("first")).distinct(), "first", "left_semi"))  # undecided
-    taken = None  # decided to be duplicates
-    live = edges
-    while not state.isEmpty():  # a round decides at least the first that is undecided
-        # earlier items that aren't undecided (nor duplicates) are accepted
-        hit = live.join(state.select(F.col("first").alias("a")), "a", "left_anti").select(F.col("b").alias("first")).distinct()
-        dup = cut(hit.join(state, "first", "left_semi"))
-        taken = dup if taken is None else taken.unionAll(dup)
-        live = cut(live.join(dup.select(F.col("first").alias("b")), "b", "left_anti").join(dup.select(F.col("first").alias("a")), "a", "left_anti"))
-        state = cut(state.join(dup, "first", "left_anti").join(live.select(F.col("b").alias("first")).distinct(), "first", "left_semi"))
-    accepted = open_ if taken is None else open_.join(taken, "first", "left_anti")
-    accepted = cut(accepted)
-    # every item's accepted records: of history, of the batch's accepted first items before it, and its own text's first item
-    from_old = rows.join(old, "cid").select("item_id", F.col("rec").alias("matched_id"), "similarity")
-    new = accepted.select(F.col("cid").alias("other"), F.col("first"))
-    from_new = rows.join(links, "cid").join(new, "other").where("first < item_id").select("item_id", F.col("first").cast("string").alias("matched_id"), "similarity")
-    same = rows.join(accepted, "cid").where("first < item_id").select("item_id", F.col("first").cast("string").alias("matched_id"), F.lit(1.0).alias("similarity"))
-    best = Window.partitionBy("item_id").orderBy(F.col("similarity").desc(), "matched_id")
-    cases = from_old.unionAll(from_new).unionAll(same).withColumn("r", F.row_number().over(best)).where("r = 1").select("item_id", "matched_id")
-    cases = cut(cases)
-    keep = texts.join(accepted.select("cid"), "cid", "left_semi").select("cid", "t", F.col("first").cast("string").alias("rec"))
-    runs.add(keep, signed.join(accepted.select("cid"), "cid", "left_semi"), n)
+    known = cut(texts.join(runs.matches(texts, signed, n, threshold), "cid", "left"))
+    links = within(signed, known, threshold)
+    taken = duplicates(links.where("open and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    accepted = known.where("rec is null").select("cid", "first")
+    accepted = cut(accepted if taken is None else accepted.join(ids(taken), "first", "left_anti").select("cid", "first"))
+    # accepted records like a text: the best of history, first items of the batch (for items after them), and its own first item
+    new = links.select("cid", "other", "similarity").unionAll(links.select(F.col("other").alias("cid"), F.col("cid").alias("other"), "similarity"))
+    new = new.join(ids(accepted.withColumnRenamed("cid", "other")), "other").select("cid", "first", "similarity").unionAll(accepted.select("cid", "first", F.lit(1.0).alias("similarity")))
+    old = known.where("rec is not null").select("cid", F.lit(None).cast("long").alias("first"), F.col("rec").alias("matched_id"), "similarity")
+    like = old.unionAll(new.select("cid", "first", F.col("first").cast("string").alias("matched_id"), "similarity"))
+    cases = rows.select("item_id", "cid").join(like, "cid").where("first is null or first < item_id")
+    cases = cut(cases.groupBy("item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "matched_id")).alias("m")).select("item_id", "m.matched_id"))
+    kept = ids(accepted.select("cid"))
+    keep = known.join(kept, "cid", "left_semi").select("cid", "t", F.col("first").cast("string").alias("rec"))
+    runs.add(keep, signed.join(kept, "cid", "left_semi"), n)
     return cases
 
 

@@ -463,6 +463,39 @@ def test_runs_are_merged(spark):
     runs.close()
 
 
+def test_a_batch_takes_few_jobs_of_the_driver(spark):
+    r = random.Random(6)
+    texts = [sentence(r) for _ in range(260)]
+    m = spark.createDataFrame([(f"m{i:05d}", T0, t) for i, t in enumerate(texts[:200])], "id string, updated_at timestamp, text string")
+    runs = incremental.history_of(m, a_range=64, a_part=16)  # in 48 folders, which are listed by a job
+    items = [texts[200], texts[3], texts[200], texts[201], texts[200] + " end", texts[202], texts[202] + " end", texts[202]]
+    jobs = []
+    for b in range(2):
+        spark.sparkContext.setJobGroup(f"batch {b}", "")
+        rows = common.cut(spark.createDataFrame([(100 * b + i, t) for i, t in enumerate(items)], "item_id long, t string"))
+        got = {x["item_id"] % 100: x["matched_id"] for x in incremental.batch(runs, rows).collect()}
+        want = {1: "m00003", 2: "0", 4: "0", 6: "5", 7: "5"}
+        assert got == (want | {0: "0", 3: "3", 5: "5"} if b else want)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {b}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    runs.close()
+    assert max(jobs) <= 50, jobs
+
+
+def test_rounds_decide_as_one_task(spark, monkeypatch):
+    r = random.Random(5)
+    links = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(120)}, key=lambda x: x[1])
+    dup = set()
+    for a, b in links:
+        if a not in dup:
+            dup.add(b)
+    df = spark.createDataFrame(links, "a long, b long")
+    for most in (incremental.ONE_TASK, 30, 0):
+        monkeypatch.setattr(incremental, "ONE_TASK", most)
+        assert sorted(x["first"] for x in incremental.duplicates(df).collect()) == sorted(dup)
+    assert incremental.duplicates(df.limit(0)) is None
+
+
 # ---- problem 4
 
 
