@@ -104,6 +104,45 @@ def test_token_pairs_are_exact(spark):
     assert {(r["a"], r["b"]) for r in pages.token_pairs(d, 0.6).collect()} == want
 
 
+def test_set_pairs_meet_once(spark, monkeypatch):
+    import itertools
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from engrava.operators import setpairs
+
+    r = random.Random(3)
+    sets = {i: frozenset(r.sample(range(12), r.randint(1, 8))) | ({99} if i % 3 else frozenset()) for i in range(60)}
+    want = sorted((a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.45)
+    d = spark.createDataFrame([(i, f"t{i}", sorted(map(str, s))) for i, s in sets.items()], "id int, title string, tokens array<string>").select(F.struct("id", "title").alias("who"), "tokens")
+    got = setpairs.set_pairs(d, 0.45).collect()
+    assert sorted((x["a"]["id"], x["b"]["id"]) for x in got) == want
+    assert all(x["b"]["title"] == f"t{x['b']['id']}" and x["size_a"] == len(sets[x["a"]["id"]]) for x in got)
+    # in parts: rows that share an element are held together, many others of a row are taken one part after the other
+    batch = pa.RecordBatch.from_pydict({"who": pa.array([{"id": i} for i in sets]), "h": pa.array([[hash(x) for x in s] for s in sets.values()], pa.list_(pa.int64()))})
+    rows = pa.Table.from_batches(setpairs.spread(np.zeros(setpairs.BUCKETS, dtype=np.uint8), 0.45)(iter([batch]))).sort_by("token")
+    monkeypatch.setattr(setpairs, "PAIRS", 3)
+    monkeypatch.setattr(setpairs, "ROWS", 10)
+    out = [tuple(sorted((x["x"]["id"], x["y"]["id"]))) for b in setpairs.meet(0.45)(iter(rows.to_batches(max_chunksize=7))) for x in b.to_pylist()]
+    assert sorted(out) == want
+
+
+def wiki(spark, tmp_path, texts):
+    rows = [(100 + i, t, "wiki", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, doc_kind string, lang string").withColumn("created_at", F.lit("2026-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_contradictions_list_their_partners(spark, tmp_path):
+    from engrava.plans import wiki as plans
+
+    sf = wiki(spark, tmp_path, ["# One\n\n> the cache keeps ten rows", "# Two\n\n> the cache keeps nine rows", "# Other\n\n> nothing alike"])
+    got = sorted((r["doc_id"], r["title"], r["partner_id"], r["partner_title"], r["partner_summary"], r["score"]) for r in plans.contradiction_list(spark, sf).collect())
+    assert got == [(100, "One", 101, "Two", "the cache keeps nine rows", 0.666667), (101, "Two", 100, "One", "the cache keeps ten rows", 0.666667)]
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "claude").mkdir()
     (tmp_path / "claude/a.jsonl").write_text("\n".join([json.dumps({"type": "user", "sessionId": "s1", "message": {"role": "user", "content": "hello"}, "timestamp": "2024-01-01T00:00:00Z"}), "{broken", json.dumps({"sessionId": "s1", "message": {"role": "assistant", "content": [{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x" * 900}]}})]))
