@@ -143,6 +143,15 @@ def test_contradictions_list_their_partners(spark, tmp_path):
     assert got == [(100, "One", 101, "Two", "the cache keeps nine rows", 0.666667), (101, "Two", 100, "One", "the cache keeps ten rows", 0.666667)]
 
 
+def test_evidence_is_cited_or_recovered(spark):
+    p = spark.createDataFrame([("k", 1, "none", ["a", "b", "c", "d", "e"]), ("k", 2, "m4", ["a"]), ("k", 3, "none", ["z"]), ("one", 4, "none", ["z"]), ("no", 5, "none", ["z"])], "k string, doc_id long, cites string, tokens array<string>")
+    m = spark.createDataFrame([("k", "m1", "m1", ["a", "b", "c", "d", "e"]), ("k", "m2", "m2", ["a", "b", "c", "y"]), ("k", "m3", "m3", ["a", "b"]), ("k", "m4", "m4", []), ("one", "m5", "m5", ["q"])], "k string, memory_id string, cites string, tokens array<string>")
+    got = sorted(tuple(r) for r in pages.recovered(p, m).collect())
+    assert got == [(1, "m1", 5, "recovered"), (1, "m2", 3, "recovered"), (2, "m4", 0, "cited"), (4, "m5", 0, "recovered")]
+    t = spark.createDataFrame([("The Project uses v1.2 and ab 元数据治理 是",)], "t string").select(text.topic_tokens("t")).first()[0]
+    assert sorted(t) == sorted(["uses", "v1.2", "元数据治理", "元数", "数据", "据治", "治理"])
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "claude").mkdir()
     (tmp_path / "claude/a.jsonl").write_text("\n".join([json.dumps({"type": "user", "sessionId": "s1", "message": {"role": "user", "content": "hello"}, "timestamp": "2024-01-01T00:00:00Z"}), "{broken", json.dumps({"sessionId": "s1", "message": {"role": "assistant", "content": [{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x" * 900}]}})]))
