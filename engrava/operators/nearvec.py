@@ -1,55 +1,73 @@
-"""Vectors that are near copies: sign-hash tables propose, exact cosines decide. Pluggable embedders."""
+"""Vectors that are near copies, by exact cosines of all of a kind, in tiles. Pluggable embedders."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engrava.functions import text
 from engrava.session import cut
 
 
-def sign_keys(vectors: DataFrame, tables: int, bits: int, dim: int, seed: int = 1) -> DataFrame:
-    """(id, kind, k): for each table one key of the signs of bits random projections."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in b["embedding"]]) if len(b) else np.zeros((0, dim))
-            s = (x @ planes > 0).reshape(len(b), tables, bits)
-            k = (s * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)[None, :]
-            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), tables), "kind": np.repeat(b["kind"].to_numpy(), tables), "k": k.ravel()})
-
-    return vectors.select("id", "kind", "embedding").mapInPandas(run, "id string, kind string, k long")
-
-
-def losers(vectors: DataFrame, near: float = 0.92, tables: int = 14, bits: int = 9, dim: int = 64) -> DataFrame:
+def losers(vectors: DataFrame, near: float = 0.92, tile: int = 65536) -> DataFrame:
     """(id, kept_id): vectors (id, kind, importance, embedding, all usable) with a near copy of their kind that is more important (ties: smaller id).
 
-    Equal vectors are one class of which the best goes on, so copies are never paired. Of the rest, pairs that share a table's
-    key are compared by their exact cosine; kept_id is the most important near copy. Tables miss a pair at the threshold with
-    a probability of about 2 %, closer ones hardly ever.
+    Equal vectors are one class of which the best goes on. The rest of a kind are all compared, by exact cosines: in tiles, each of
+    which meets each other one of its kind in a task; kept_id is the most important near copy. A tile pair gives a row for a vector at most.
     """
     v = vectors.withColumn("i", F.coalesce("importance", F.lit(0.0))).withColumn("h", F.xxhash64("kind", "embedding"))
-    order = [F.col("i").desc(), F.col("id")]
-    w = Window.partitionBy("kind", "h", "embedding").orderBy(*order)
-    v = v.withColumn("first", F.first("id").over(w))
+    w = Window.partitionBy("h", "kind", "embedding").orderBy(F.col("i").desc(), F.col("id"))
+    v = v.select("id", "kind", "i", "h", "embedding").repartition("h").withColumn("first", F.first("id").over(w))
     same = v.where("id <> first").select("id", F.col("first").alias("kept_id"))
-    best = v.where("id = first").select("id", "kind", "i", "embedding")
-    keys = sign_keys(best, tables, bits, dim)
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.kind").eqNullSafe(F.col("b.kind"))) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    side = lambda n: best.select(F.col("id").alias(n), F.col("i").alias(f"i{n}"), F.col("embedding").alias(f"e{n}"))
-    j = pairs.join(side("x"), "x").join(side("y"), "y").where(text.cosine(F.col("ex"), F.col("ey")) >= near)
-    worse = F.when((F.col("ix") > F.col("iy")) | ((F.col("ix") == F.col("iy")) & (F.col("x") < F.col("y"))), F.col("y")).otherwise(F.col("x"))
-    j = j.select(worse.alias("id"), F.when(worse == F.col("y"), F.col("x")).otherwise(F.col("y")).alias("kept_id"), F.greatest("ix", "iy").alias("i"))
+    tiles = vectors.groupBy(F.col("kind").alias("of")).agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    own = v.where("id = first").join(F.broadcast(tiles), F.col("kind").eqNullSafe(F.col("of"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    own = own.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    placed = own.select("kind", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"), "i", "id", "embedding")
+    j = placed.groupBy("kind", "x", "y").applyInArrow(lambda t: better(t, near), "id string, kept_id string, i double")
     return j.groupBy("id").agg(F.min_by("kept_id", F.struct(-F.col("i"), "kept_id")).alias("kept_id")).unionAll(same)
 
 
+def better(t: pa.Table, near: float, rows: int = 1024, columns: int = 8192) -> pa.Table:
+    """(id, kept_id, i): the rows of two tiles (left or not; all left if it's one) with a near row of the other before them, and the first such."""
+    e = t["embedding"].combine_chunks()
+    x = e.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    i, left = t["i"].to_numpy(), t["left"].to_numpy()
+    order = np.lexsort((np.array([k.encode() for k in t["id"].to_pylist()], dtype=object), -i))
+    x, left = x[order].astype(np.float64), left[order]
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))
+    f = (x / n[:, None]).astype(np.float32)
+    kept = np.full(len(t), -1, dtype=np.int64)
+    for a, b in [(left, ~left), (~left, left)] if not left.all() else [(left, left)]:
+        targets, others = np.flatnonzero(a), np.flatnonzero(b)
+        for s in range(0, len(targets), rows):
+            r = targets[s : s + rows]
+            end = int(np.searchsorted(others, r[-1]))
+            for k in range(0, end, columns):  # from the most important: a row is done with the first near one
+                r = r[kept[r] < 0]
+                c = others[k : min(k + columns, end)]
+                if not len(r):
+                    break
+                cos = f[r] @ f[c].T
+                hit = np.flatnonzero(cos.max(axis=1) >= near - 1e-5)
+                maybe = (cos[hit] >= near - 1e-5) & (c[None, :] < r[hit, None])
+                while len(hit):
+                    first = maybe.argmax(axis=1)
+                    some = maybe[np.arange(len(hit)), first]
+                    hit, maybe, first = hit[some], maybe[some], first[some]
+                    p, q = r[hit], c[first]
+                    yes = np.einsum("ij,ij->i", x[p], x[q]) / (n[p] * n[q]) >= near
+                    kept[p[yes]] = q[yes]
+                    maybe[np.arange(len(hit)), first] = False
+                    hit, maybe = hit[~yes], maybe[~yes]
+    lost = np.flatnonzero(kept >= 0)
+    id_, kept_id = t["id"].take(pa.array(order[lost])), t["id"].take(pa.array(order[kept[lost]]))
+    return pa.table({"id": id_, "kept_id": kept_id, "i": i[order[kept[lost]]]})
+
+
 #: Rows of a tile of survivors().
 TILE = 32768
 

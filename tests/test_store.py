@@ -44,6 +44,27 @@ def test_losers(spark):
     assert set(got) == want | {"copy1"} and got["copy1"] == "g00-3"
 
 
+def test_losers_misses_none(spark):
+    """Pairs just above and below the threshold, ties of importance, in tiles: as all pairs compared."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for i, cos in enumerate((1.0, 0.922, 0.918)):
+            v = cos * a + np.sqrt(1 - cos * cos) * b * (1 if i == 1 else -1)
+            rows.append((f"{(g * 7919 + i * 31) % 1000:03d}-{g}-{i}", None if g % 5 == 0 else "fact", float(g % 3) / 10 if i else 0.1, [float(x) for x in v]))
+    x = np.array([r[3] for r in rows], dtype=np.float32).astype(np.float64)
+    cos = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    want = {}
+    for i, r in enumerate(rows):
+        before = [(-o[2], o[0]) for j, o in enumerate(rows) if cos[i, j] >= 0.92 and o[1] == r[1] and (-o[2], o[0]) < (-r[2], r[0])]
+        if before:
+            want[r[0]] = min(before)[1]
+    d = spark.createDataFrame(rows, "id string, kind string, importance double, embedding array<float>")
+    assert len(want) >= 300
+    assert {r["id"]: r["kept_id"] for r in nearvec.losers(d, tile=100).collect()} == want
+
+
 def lone(rng, n):
     return [[float(x) for x in v] for v in rng.standard_normal((n, 64))]
 
